@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trailspark.functions.once import compute_once
 from trailspark.functions.payload import is_strict_json
 from trailspark.schema import PAYLOADS, REQUIRED_TEXT
 
@@ -39,6 +40,11 @@ def encode_reason() -> Column:
     return F.when(reduce(lambda a, b: a | b, broken), F.lit(ENCODE_ERROR))
 
 
+def with_reason(events: DataFrame) -> DataFrame:
+    """Adds `reason`: why an event is refused when let in or when encoded, NULL for a good one."""
+    return compute_once(events, reason=F.coalesce(reject_reason(), encode_reason()))
+
+
 def batch_reason(n_events: Column, first_reason: Column, max_events: int | None) -> Column:
     """Why a batch is refused as a whole: empty, too large, or its first invalid event."""
     reason = F.when(n_events == 0, F.lit(EVENTS_REQUIRED))

@@ -1,8 +1,9 @@
 """JSON text to events, as strictly as the services that write it expect.
 
-One `from_json` per document reads every field as a variant, so the kind of each value is
-still known: text fields must hold a string or null, payloads may hold anything. Keys match
-case-sensitively and unknown keys are ignored.
+A document is parsed once, into a variant, and taken apart into one variant per field, so the
+kind of each value is still known: text fields must hold a string or null, payloads may hold
+anything. Keys match case-sensitively, the last of duplicate keys counts, unknown keys are
+ignored.
 """
 
 from __future__ import annotations
@@ -17,37 +18,54 @@ from trailspark.schema import EVENT_COLUMNS, PAYLOADS, TEXT
 
 # A client may send an id; it is checked like any text and then dropped.
 _TEXT_FIELDS = ("id",) + TEXT + ("created_at",)
-_FIELDS = ", ".join(f"{c} variant" for c in ("id",) + EVENT_COLUMNS)
-MESSAGE_VARIANTS = f"{_FIELDS}, _corrupt_record string"
-ENVELOPE_VARIANTS = f"events array<struct<{_FIELDS.replace(' variant', ': variant')}>>, _corrupt_record string"
+_EVENT = "struct<" + ", ".join(f"{c}: variant" for c in ("id",) + EVENT_COLUMNS) + ">"
 
 
-def parse(body: Column, schema: str) -> Column:
-    """Struct of variants; NULL where the text is not one JSON document of that form."""
-    parsed = F.from_json(body, schema, {"allowSingleQuotes": "false"})
-    return F.when(is_single_document(body), parsed)
+def parse_event(body: Column) -> Column:
+    """Struct of variants; NULL where the text is not one JSON object."""
+    return F.when(is_single_document(body), as_event(F.try_parse_json(body)))
 
 
-def is_malformed(parsed: Column) -> Column:
-    return parsed.isNull() | parsed["_corrupt_record"].isNotNull()
+def parse_envelope(body: Column) -> Column:
+    """Struct of the variant `events`; NULL where the text is not one JSON object."""
+    return F.when(
+        is_single_document(body), F.try_variant_get(F.try_parse_json(body), "$", "struct<events: variant>")
+    )
 
 
-def has_wrong_type(event: Column) -> Column:
-    """True when a text field holds something else or the time is not RFC 3339."""
-    wrong = [
-        ~F.coalesce(F.schema_of_variant(event[c]), F.lit("VOID")).isin("STRING", "VOID") for c in _TEXT_FIELDS
-    ]
-    time = _string(event["created_at"])
-    wrong.append(time.isNotNull() & rfc3339_to_timestamp(time).isNull())
-    return reduce(lambda a, b: a | b, wrong)
+def elements(events: Column) -> Column:
+    """The elements of a JSON array, each a variant; NULL for anything else."""
+    return F.try_variant_get(events, "$", "array<variant>")
 
 
-def event_struct(event: Column) -> Column:
-    """The typed event; payloads as JSON text. NULL for a NULL event."""
+def is_null(value: Column) -> Column:
+    """True where a variant is absent or JSON null."""
+    return value.isNull() | F.is_variant_null(value)
+
+
+def as_event(value: Column) -> Column:
+    """Struct of variants from a JSON object; NULL for anything else."""
+    return F.try_variant_get(value, "$", _EVENT)
+
+
+def event_time(event: Column) -> Column:
+    """`created_at` as a time; NULL where it is not given and where it is not RFC 3339."""
+    return rfc3339_to_timestamp(_string(event["created_at"]))
+
+
+def has_wrong_type(event: Column, time: Column) -> Column:
+    """True when a text field holds something else or a given time is not one."""
+    kinds = {c: F.coalesce(F.schema_of_variant(event[c]), F.lit("VOID")) for c in _TEXT_FIELDS}
+    wrong = [~kind.isin("STRING", "VOID") for kind in kinds.values()]
+    return reduce(lambda a, b: a | b, wrong) | ((kinds["created_at"] != "VOID") & time.isNull())
+
+
+def event_struct(event: Column, time: Column) -> Column:
+    """The typed event; payloads as JSON text."""
     typed = {c: _string(event[c]) for c in TEXT}
     typed |= {c: F.to_json(event[c]) for c in PAYLOADS}
-    typed["created_at"] = rfc3339_to_timestamp(_string(event["created_at"]))
-    return F.when(event.isNotNull(), F.struct(*(typed[c].alias(c) for c in EVENT_COLUMNS)))
+    typed["created_at"] = time
+    return F.struct(*(typed[c].alias(c) for c in EVENT_COLUMNS))
 
 
 def _string(value: Column) -> Column:

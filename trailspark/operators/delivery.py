@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trailspark.operators.decode import MESSAGE_VARIANTS, event_struct, has_wrong_type, is_malformed, parse
+from trailspark.functions.once import compute_once
+from trailspark.operators.decode import event_struct, event_time, has_wrong_type, parse_event
 
 # Why a delivery is set aside, and the default limit of redeliveries.
 MAX_REDELIVERIES = "max_redeliveries"
@@ -34,9 +35,10 @@ def decode_messages(deliveries: DataFrame, max_redeliveries: int = DEFAULT_MAX_R
     Redeliveries are judged before the body is looked at. A good event is not validated
     again: it was when it was let in.
     """
-    parsed = deliveries.withColumn("_parsed", parse(F.col("body"), MESSAGE_VARIANTS))
-    undecodable = is_malformed(F.col("_parsed")) | has_wrong_type(F.col("_parsed"))
+    parsed, time = F.col("_parsed"), F.col("_time")
+    read = deliveries.withColumn("_parsed", parse_event(F.col("body"))).withColumn("_time", event_time(parsed))
+    undecodable = parsed.isNull() | has_wrong_type(parsed, time)
     reason = F.when(is_poison(max_redeliveries), F.lit(MAX_REDELIVERIES)).when(
         undecodable, F.lit(DECODE_ERROR)
     )
-    return parsed.withColumns({"dead_reason": reason, "event": event_struct(F.col("_parsed"))}).drop("_parsed")
+    return compute_once(read, dead_reason=reason, event=event_struct(parsed, time)).drop("_parsed", "_time")

@@ -138,15 +138,16 @@ def build_predicate(
     Plain column comparisons reach the Parquet scan; the bounds a cursor or a category
     implies are added because the optimizer does not derive them from an OR or a CASE.
     """
-    category = category_column(rules=rules)
     parts: list[Column] = []
     for name in EQUALITY_COLUMNS:
         parts += _equal(F.col(name), getattr(flt, name))
-    parts += _equal(category, flt.category)
+    if flt.category or flt.exclude_categories:
+        category = category_column(rules=rules)
+        parts += _equal(category, flt.category)
+        parts += _not_in(category, flt.exclude_categories, nullable=False)
     implied = implied_service(flt.category.strip(WHITE_SPACE), F.col("service"), rules)
     if implied is not None:
         parts.append(implied)
-    parts += _not_in(category, flt.exclude_categories, nullable=False)
     parts += _not_in(F.col("service"), flt.exclude_services, nullable="service" in OPTIONAL_TEXT)
     parts += _not_in(F.col("action"), flt.exclude_actions, nullable=False)
     status = in_range(http_status(), flt.status_min, flt.status_max)

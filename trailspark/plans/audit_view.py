@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from trailspark.functions.once import compute_once
 from trailspark.operators.render import message_json
 from trailspark.schema import STORED_COLUMNS
 
@@ -59,7 +60,7 @@ def audit_events(spark: SparkSession, sf_dir: str, minutes: bool = False) -> Dat
         "client_ip": F.concat(lit("10.0.0."), text(user % 256)),
         "created_at": F.date_trunc("minute", "ts").cast("timestamp_ntz") if minutes else F.col("ts"),
     }
-    return raw.withColumn("k", F.get_json_object("props", "$.k").cast("int")).select(
+    return compute_once(raw, k=F.get_json_object("props", "$.k").cast("int")).select(
         *(columns[c].alias(c) for c in STORED_COLUMNS), number
     )
 

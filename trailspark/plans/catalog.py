@@ -24,8 +24,8 @@ from trailspark.operators.admission import (
     admit_envelopes,
     admitted_events,
     batch_decisions,
-    encode_reason,
     reject_reason,
+    with_reason,
 )
 from trailspark.operators.delivery import death_count, decode_messages, is_poison
 from trailspark.operators.filters import EventFilter, filter_events
@@ -119,12 +119,11 @@ def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delivery_files(spark: SparkSession, sf_dir: str) -> str:
-    """Delivery files in two waves, so that a stream over them has several micro-batches."""
+    """Delivery files in event order, two per core: a stream over them has several batches."""
 
     def write(path: str) -> None:
-        waves = deliveries(spark, sf_dir)
-        for wave in (0, 1):
-            waves.filter(F.col("event_id") % 2 == wave).write.mode("append").parquet(path)
+        files = 2 * spark.sparkContext.defaultParallelism
+        deliveries(spark, sf_dir).repartitionByRange(files, "event_id").write.parquet(path)
 
     return _once(spark, sf_dir, "deliveries", write)
 
@@ -268,8 +267,7 @@ def valid_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many events are refused, by reason; the encoding is tried on valid ones only."""
-    reason = F.coalesce(reject_reason(), encode_reason())
-    refused = intake(spark, sf_dir).select(reason.alias("reason")).filter("reason IS NOT NULL")
+    refused = with_reason(intake(spark, sf_dir)).filter("reason IS NOT NULL")
     return refused.groupBy("reason").agg(F.count("*").alias("n"))
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from trailspark.functions.once import compute_once
 from trailspark.operators.admission import encode_reason
 from trailspark.operators.render import encode_messages
 
 
 def split_encodable(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events whose payloads encode, the others with their `reason`)."""
-    marked = events.withColumn("reason", encode_reason())
+    marked = compute_once(events, reason=encode_reason())
     return marked.filter("reason IS NULL").drop("reason"), marked.filter("reason IS NOT NULL")
 
 

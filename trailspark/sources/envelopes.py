@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trailspark.operators.decode import ENVELOPE_VARIANTS, event_struct, has_wrong_type, is_malformed, parse
+from trailspark.functions.once import compute_once
+from trailspark.operators.decode import (
+    as_event,
+    elements,
+    event_struct,
+    event_time,
+    has_wrong_type,
+    is_null,
+    parse_envelope,
+)
 from trailspark.schema import EVENT_COLUMNS
 
 
@@ -23,14 +32,18 @@ def decode_envelopes(envelopes: DataFrame) -> DataFrame:
 
     One value of the wrong kind makes the whole document undecodable.
     """
-    parsed = envelopes.withColumn("_parsed", parse(F.col("body"), ENVELOPE_VARIANTS))
-    given = F.col("_parsed.events")
-    wrong = F.exists(given, lambda e: e.isNotNull() & has_wrong_type(e))
-    return (
-        parsed.withColumn("decode_error", is_malformed(F.col("_parsed")) | F.coalesce(wrong, F.lit(False)))
-        .withColumn("events", F.when(~F.col("decode_error"), F.transform(given, event_struct)))
-        .drop("_parsed")
+    parsed = envelopes.withColumn("_parsed", parse_envelope(F.col("body")))
+    listed = parsed.withColumn("_given", elements(F.col("_parsed.events")))
+    read = listed.withColumn("_events", F.transform("_given", as_event))
+    no_array = F.col("_given").isNull() & ~is_null(F.col("_parsed.events"))
+    no_object = F.exists(
+        F.zip_with("_given", "_events", lambda given, event: event.isNull() & ~is_null(given)), lambda wrong: wrong
     )
+    wrong_type = F.exists("_events", lambda e: e.isNotNull() & has_wrong_type(e, event_time(e)))
+    broken = F.coalesce(F.col("_parsed").isNull() | no_array | no_object | wrong_type, F.lit(False))
+    events = F.transform("_events", lambda e: F.when(e.isNotNull(), event_struct(e, event_time(e))))
+    decoded = compute_once(read, decode_error=broken, events=F.when(~broken, events))
+    return decoded.drop("_parsed", "_given", "_events")
 
 
 def explode_events(envelopes: DataFrame) -> DataFrame:

@@ -52,21 +52,20 @@ def batch_key(query: str, batch_id: int) -> str:
 
 
 def write_batch(
-    deliveries: DataFrame,
+    decoded: DataFrame,
     batch_id: int,
     tables: IngestTables,
     *,
     query: str,
-    max_redeliveries: int = DEFAULT_MAX_REDELIVERIES,
     rules: CategoryRules = DEFAULT_RULES,
 ) -> None:
     """Write one micro-batch: events, dead letters, roll-up part, and last its ledger row.
 
-    The decoded batch feeds several writes and is kept for them; a lost executor's share is
-    decoded again.
+    `decoded` is `decode_messages` of deliveries `with_arrival`. It feeds several writes and
+    is kept for them; a lost executor's share is decoded again.
     """
     batch = batch_key(query, batch_id)
-    decoded = decode_messages(deliveries, max_redeliveries).persist(StorageLevel.MEMORY_AND_DISK)
+    decoded = decoded.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         reason = F.col("dead_reason")
         totals = decoded.agg(
@@ -88,7 +87,7 @@ def write_batch(
         if tables.rollup:
             write_rollup(group_events(events, rules=rules), tables.rollup, batch)
         write_ledger(
-            deliveries.sparkSession, tables.ledger, batch,
+            decoded.sparkSession, tables.ledger, batch,
             query=query, batch_id=batch_id, totals=totals, write_seconds=write_seconds,
         )
     finally:
@@ -115,10 +114,11 @@ def start_ingest(
     ensure_session(deliveries.sparkSession)
 
     def write(df: DataFrame, batch_id: int) -> None:
-        write_batch(df, batch_id, tables, query=query, max_redeliveries=max_redeliveries, rules=rules)
+        write_batch(df, batch_id, tables, query=query, rules=rules)
         if after_batch:
             after_batch(batch_id)
 
-    writer = with_arrival(deliveries).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    decoded = decode_messages(with_arrival(deliveries), max_redeliveries)
+    writer = decoded.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": flush_interval}
     return writer.trigger(**trigger).start()
