@@ -16,8 +16,8 @@ from pyspark.sql.types import TimestampType
 from trailspark.functions.category import category_column
 from trailspark.functions.cursor import cursor_column, cursor_id, cursor_time, encode_cursor
 from trailspark.functions.identity import event_id
-from trailspark.functions.payload import is_strict_json
 from trailspark.functions.status import http_status
+from trailspark.functions.times import timestamp_to_rfc3339
 from trailspark.functions.values import clean_values_column
 from trailspark.operators.admission import (
     MAX_RPC_EVENTS,
@@ -128,30 +128,41 @@ def delivery_files(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "deliveries", write)
 
 
-# --- sources, sinks, table ---------------------------------------------------------------
-
-
-def src_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+def envelope_files(spark: SparkSession, sf_dir: str) -> str:
     """Batch documents of 25 events, some null, some batches empty or cut short."""
     number = F.col("event_id")
+    broken = (number % 59 == 0) | (number % 61 == 0)
     event = F.struct(
-        *(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias(c) if c == "created_at" else F.col(c)
+        *(timestamp_to_rfc3339(F.col(c)).alias(c) if c == "created_at" else F.col(c)
           for c in EVENT_COLUMNS if c not in PAYLOADS),
-        F.when(is_strict_json("metadata"), F.try_parse_json("metadata")).alias("metadata"),
+        F.when(~broken, F.try_parse_json("metadata")).alias("metadata"),
     )
     text = F.when(number % 97 == 0, "null").otherwise(F.to_json(event))
     batch = F.expr("event_id div 25")
-    given = intake(spark, sf_dir).withColumn("created_at", F.col("created_at").cast("timestamp"))
-    batches = given.groupBy(batch.alias("batch")).agg(
-        F.sort_array(F.collect_list(F.struct(number, text.alias("text")))).alias("list")
-    )
-    listed = F.array_join(F.transform("list", lambda e: e["text"]), ",")
-    body = F.concat(F.lit('{"events":['), F.when(F.col("batch") % 20 == 3, "").otherwise(listed), F.lit("]}"))
-    path = scratch(spark, "envelopes")
-    batches.select(
-        F.when(F.col("batch") % 20 == 7, F.substring(body, F.lit(1), F.length(body) - 2)).otherwise(body)
-    ).write.text(path)
-    admitted = admit_envelopes(decode_envelopes(read_envelopes(spark, path)))
+
+    def write(path: str) -> None:
+        batches = intake(spark, sf_dir).groupBy(batch.alias("batch")).agg(
+            F.sort_array(F.collect_list(F.struct(number, text.alias("text")))).alias("list")
+        )
+        listed = F.array_join(F.transform("list", lambda e: e["text"]), ",")
+        body = F.concat(F.lit('{"events":['), F.when(F.col("batch") % 20 == 3, "").otherwise(listed), F.lit("]}"))
+        cut = F.length(body) - F.when(F.col("batch") % 20 == 7, 2).otherwise(0)
+        batches.select(F.substring(body, F.lit(1), cut)).write.text(path)
+
+    return _once(spark, sf_dir, "envelopes", write)
+
+
+def message_files(spark: SparkSession, sf_dir: str) -> str:
+    """The audit events as queue messages, one per line."""
+    return _once(spark, sf_dir, "messages", lambda p: write_messages(table_events(spark, sf_dir), p))
+
+
+# --- sources, sinks, table ---------------------------------------------------------------
+
+
+def src_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    envelopes = read_envelopes(spark, envelope_files(spark, sf_dir))
+    admitted = admit_envelopes(decode_envelopes(envelopes))
     return plain_times(explode_events(admitted).drop("source_file", "source_row"))
 
 
@@ -165,9 +176,7 @@ def map_wire_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "messages")
-    write_messages(table_events(spark, sf_dir), path)
-    decoded = decode_messages(from_text(spark, path))
+    decoded = decode_messages(from_text(spark, message_files(spark, sf_dir)))
     events = normalize(decoded.select("event.*", "dead_reason"), F.lit(ARRIVAL).cast("timestamp"))
     return plain_times(events)
 

@@ -19,8 +19,7 @@ from trailspark.schema import EVENT_COLUMNS
 
 def read_envelopes(spark: SparkSession, path: str, *, whole_files: bool = False) -> DataFrame:
     """`body` with its coordinates `source_file, source_row`."""
-    reader = spark.read.option("wholetext", whole_files)
-    return reader.text(path).select(
+    return spark.read.text(path, wholetext=whole_files).select(
         F.col("value").alias("body"),
         F.col("_metadata.file_path").alias("source_file"),
         F.monotonically_increasing_id().alias("source_row"),
