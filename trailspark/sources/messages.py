@@ -6,7 +6,7 @@ is derived.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trailspark.schema import DELIVERY_SCHEMA
 
@@ -35,22 +35,23 @@ def _delivered(df: DataFrame) -> DataFrame:
 
 def from_text(spark: SparkSession, path: str) -> DataFrame:
     """Text files, one body per line, no delivery metadata."""
-    return _bodies(spark.read.text(path))
+    return _bodies(spark.read.text(path), F.monotonically_increasing_id())
 
 
 def stream_text(spark: SparkSession, path: str, *, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Text files as they arrive; lines have no position until their batch is written."""
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return _bodies(reader.text(path))
+    return _bodies(reader.text(path), F.lit(None).cast("bigint"))
 
 
-def _bodies(df: DataFrame) -> DataFrame:
+def _bodies(df: DataFrame, position: Column) -> DataFrame:
     return df.select(
         F.col("value").alias("body"),
         *_undelivered(),
         F.col("_metadata.file_path").alias("source"),
-        F.monotonically_increasing_id().alias("position"),
+        position.alias("position"),
     )
 
 

@@ -62,10 +62,12 @@ def write_batch(
     """Write one micro-batch: events, dead letters, roll-up part, and last its ledger row.
 
     `decoded` is `decode_messages` of deliveries `with_arrival`. It feeds several writes and
-    is kept for them; a lost executor's share is decoded again.
+    is kept for them; a lost executor's share is decoded again. Lines of text get the order
+    in which the batch reads them as their position.
     """
     batch = batch_key(query, batch_id)
-    decoded = decoded.persist(StorageLevel.MEMORY_AND_DISK)
+    position = F.coalesce("position", F.monotonically_increasing_id())
+    decoded = decoded.withColumn("position", position).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         reason = F.col("dead_reason")
         totals = decoded.agg(
