@@ -106,7 +106,15 @@ def test_a_category_pushes_the_service_it_implies(table):
 
 def test_payloads_are_read_only_when_asked_for(table):
     assert "metadata" not in plan(filter_events(table, EventFilter(actor="user-1")).select("id"))
-    assert "metadata" in plan(filter_events(table, EventFilter(status_min=200)).select("id"))
+    assert "metadata" not in plan(filter_events(table, EventFilter(status_min=200)).select("id"))
+    assert "metadata" in plan(filter_events(table.drop("http_status"), EventFilter(status_min=200)).select("id"))
+
+
+def test_the_stored_status_reaches_the_scan(table):
+    matching = filter_events(table, EventFilter(status_min=200, status_max=399))
+    pushed = scan_part(matching, "PushedFilters")
+    assert "GreaterThanOrEqual(http_status,200)" in pushed and "LessThanOrEqual(http_status,399)" in pushed
+    assert matching.count() == filter_events(table.drop("http_status"), EventFilter(status_min=200, status_max=399)).count()
 
 
 def test_predicate_is_a_plain_column(table):

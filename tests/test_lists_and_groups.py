@@ -144,7 +144,7 @@ def test_groups_of_parts_merge_to_the_whole(spark, table, tmp_path):
 def test_group_aggregation_combines_before_the_shuffle(table):
     text = plan(group_events(table))
     assert "partial_count" in text and "Python" not in text
-    assert "before_state" not in text and "client_ip" not in text
+    assert "metadata" not in text and "client_ip" not in text
 
 
 def test_histogram_is_cumulative(spark):

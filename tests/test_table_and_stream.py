@@ -101,6 +101,23 @@ def test_compacted_files_have_bloom_filters(spark, tmp_path):
     assert os.path.getsize(file) < 20_000_000
 
 
+def test_an_hour_that_holds_most_rows_is_split(spark, tmp_path):
+    source, target = str(tmp_path / "landed"), str(tmp_path / "days")
+    text = {c: F.sha2(F.concat("id", F.lit(c)), 256) for c in STORED_COLUMNS if c not in ("id", "created_at")}
+    hour = F.when(F.col("id") % 10 < 7, F.lit("2024-01-01 12:00:00")).otherwise(F.lit("2024-01-02 01:00:00"))
+    rows = spark.range(0, 40_000, 1, 8).withColumns(
+        text | {"created_at": hour.cast("timestamp"), "id": F.col("id").cast("string")}
+    )
+    append_events(rows, source, "b")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2MB")
+    try:
+        compact_days(spark, source, target)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len([f for f in parquet_files(target) if "2024-01-01" in f]) > 2
+    assert same(read_events(spark, target).select("id", "created_at"), rows.select("id", "created_at"))
+
+
 def test_lookup_by_request_reads_the_plain_column(spark, table):
     matching = filter_events(table, EventFilter(request_id="req-77"))
     assert "EqualTo(request_id,req-77)" in scan_part(matching, "PushedFilters")
@@ -113,8 +130,12 @@ def test_old_files_read_blank(spark, sf_dir, tmp_path):
     given.filter("event_id < 100").drop("event_id", *late).write.partitionBy("created_date", "batch").parquet(path)
     new = given.filter("event_id >= 100").drop("event_id")
     new.write.mode("append").partitionBy("created_date", "batch").parquet(path)
-    events = read_events(spark, path)
+    events = read_events(spark, path, status_stored=False)
     assert events.filter("service IS NULL").count() == 100
+    assert group_events(events).agg(F.sum("success_count")).first()[0] > 0
+    compacted = str(tmp_path / "compacted")
+    compact_days(spark, path, compacted)
+    assert same(group_events(events), group_events(read_events(spark, compacted)))
     assert filter_events(events, EventFilter(service="web-svc")).filter("service IS NULL").count() == 0
     page = fetch_page(events, EventFilter(until=datetime(2024, 1, 2, tzinfo=timezone.utc), limit=5))
     assert {r[c] for r in page.events for c in late} == {""}

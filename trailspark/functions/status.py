@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StructType
+
+from trailspark.schema import STATUS_COLUMN
 
 
 _KEY = "http_status"
 
 
+def status_column(schema: StructType) -> Column:
+    """The stored status where there is one, else the status read from the metadata."""
+    return F.col(STATUS_COLUMN) if STATUS_COLUMN in schema.names else http_status()
+
+
 def http_status(metadata: Column | str = "metadata") -> Column:
     """`metadata.http_status` as an int when its text is all digits, else NULL.
 

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from trailspark.functions.category import DEFAULT_RULES, CategoryRules, category_column, implied_service
 from trailspark.functions.cursor import decode_cursor
-from trailspark.functions.status import http_status, in_range
+from trailspark.functions.status import in_range, status_column
 from trailspark.functions.times import as_utc, parse_rfc3339, time_literal
 from trailspark.functions.values import WHITE_SPACE, clean_values
 from trailspark.schema import OPTIONAL_TEXT
@@ -150,7 +150,7 @@ def build_predicate(
         parts.append(implied)
     parts += _not_in(F.col("service"), flt.exclude_services, nullable="service" in OPTIONAL_TEXT)
     parts += _not_in(F.col("action"), flt.exclude_actions, nullable=False)
-    status = in_range(http_status(), flt.status_min, flt.status_max)
+    status = in_range(status_column(schema), flt.status_min, flt.status_max)
     if status is not None:
         parts.append(status)
     parts += time_bounds(schema, flt.since, flt.until)

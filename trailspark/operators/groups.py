@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from trailspark.functions.category import DEFAULT_RULES, CategoryRules, category_column
-from trailspark.functions.status import http_status, is_failure, is_success
+from trailspark.functions.status import is_failure, is_success, status_column
 from trailspark.operators.filters import EventFilter, filter_events
 from trailspark.operators.listing import page_size
 from trailspark.operators.windows import in_window, newest_first
@@ -30,7 +30,7 @@ def group_events(
         F.date_trunc("hour", "created_at").cast(kind).alias("bucket_start"),
         category_column(rules=rules).alias("category"),
         *(text(c) for c in GROUP_KEYS[2:]),
-        http_status().alias("status"),
+        status_column(events.schema).alias("status"),
         "created_at",
     )
     return keyed.groupBy(*GROUP_KEYS).agg(

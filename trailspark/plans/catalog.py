@@ -214,7 +214,9 @@ def schema_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = events.filter("event_id % 2 = 0").drop("service", "request_id", "client_ip", "event_id")
     for part in (old, events.filter("event_id % 2 = 1").drop("event_id")):
         part.write.mode("append").partitionBy("created_date", "batch").parquet(path)
-    kept = filter_events(read_events(spark, path), EventFilter(exclude_services=["web-svc"]))
+    kept = filter_events(
+        read_events(spark, path, status_stored=False), EventFilter(exclude_services=["web-svc"], status_min=200)
+    )
     return plain_times(list_columns(kept))
 
 
@@ -260,6 +262,15 @@ def filtered(flt: EventFilter) -> Query:
     return run
 
 
+def table_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A status filter on the event table, which stores the status beside the payload."""
+    return plain_times(list_columns(filter_events(event_table(spark, sf_dir), FILTERS["f_status"])))
+
+
+def table_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain_times(group_events(event_table(spark, sf_dir)))
+
+
 def cleaned_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw filter values made of two columns of each event, cleaned."""
     raw = F.array(
@@ -425,6 +436,7 @@ QUERIES: dict[str, Query] = {
     "normalize": normalized,
     "assign_id": assigned_ids,
     **{name: filtered(flt) for name, flt in FILTERS.items()},
+    "table_status": table_status,
     "clean_values": cleaned_values,
     "validate": valid_events,
     "reject_reasons": reject_reasons,
@@ -439,6 +451,7 @@ QUERIES: dict[str, Query] = {
     "event_groups": event_groups,
     "group_page": group_page,
     "hourly_rollup": hourly_rollup,
+    "table_rollup": table_rollup,
     "bucket_histogram": status_histogram,
     "stream_ingest": stream_ingest,
     "replay_idempotent": replay_idempotent,

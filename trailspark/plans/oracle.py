@@ -229,16 +229,17 @@ ORACLES: dict[str, str] = {
     ),
     "src_messages": _audit(f"SELECT {EVENT}, CAST(NULL AS VARCHAR) AS dead_reason FROM audit"),
     "encode_messages": _audit(f"SELECT {MESSAGE} AS value FROM audit"),
-    "append_events": _audit(
-        f"SELECT {STORED}, CAST(created_at AS DATE) AS created_date, 'load' AS batch FROM minutes"
+    "append_events": _trail(
+        f"SELECT {STORED}, status AS http_status, CAST(created_at AS DATE) AS created_date, 'load' AS batch FROM trail",
+        "minutes",
     ),
-    "compact_days": _audit(
-        f"SELECT {STORED}, CAST(created_at AS DATE) AS created_date, 'compacted' AS batch FROM audit "
+    "compact_days": _trail(
+        f"SELECT {STORED}, status AS http_status, CAST(created_at AS DATE) AS created_date, 'compacted' AS batch FROM trail "
         "WHERE CAST(created_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"
     ),
     "dead_letter": _audit("SELECT reason, body, deaths, redelivered FROM judged WHERE reason IS NOT NULL", DELIVERED),
     "schema_evolution": _trail(
-        f"SELECT {LIST} FROM trail WHERE service <> 'web-svc'",
+        f"SELECT {LIST} FROM trail WHERE service <> 'web-svc' AND status >= 200",
         "evolved",
         """evolved AS (
   SELECT * REPLACE (CASE WHEN event_id % 2 = 0 THEN '' ELSE service END AS service,
@@ -290,6 +291,7 @@ SELECT event_id, h[1:8] || '-' || h[9:12] || '-8' || h[14:16] || '-8' || h[18:20
         "scope_type = 'tenant' AND actor = 'user-0' AND service <> 'orders-svc' AND status BETWEEN 200 AND 499 "
         f"AND {TIME_SQL} AND {CURSOR_SQL}"
     ),
+    "table_status": _trail(f"SELECT {LIST} FROM trail WHERE status BETWEEN 200 AND 399", "minutes"),
     "clean_values": _audit(
         "SELECT id, service || '|' || actor || '|' || target_id AS cleaned FROM audit"
     ),
@@ -342,6 +344,7 @@ SELECT {LIST}, CASE WHEN more THEN (
         "minutes",
     ),
     "hourly_rollup": _trail(f", {_grouped()}\nSELECT {GROUP_COLUMNS} FROM grouped"),
+    "table_rollup": _trail(f", {_grouped()}\nSELECT {GROUP_COLUMNS} FROM grouped", "minutes"),
     "bucket_histogram": _trail(
         """, totals AS (SELECT COUNT(status) AS n, CAST(SUM(status) AS BIGINT) AS s FROM trail)
 , bounds AS (SELECT * FROM (VALUES ('99', 99), ('199', 199), ('299', 299), ('399', 399), ('499', 499),

@@ -7,6 +7,7 @@ from pyspark.sql.types import (
     ArrayType,
     BooleanType,
     DateType,
+    IntegerType,
     LongType,
     StringType,
     StructField,
@@ -37,7 +38,9 @@ GROUP_KEYS = (
 )
 GROUP_MEASURES = ("count", "success_count", "failure_count", "first_seen", "last_seen")
 
-#: Physical columns of the event table, dropped from every result.
+#: Physical columns of the event table, in no result: the status as the metadata hold it,
+#: so that status filters and summaries need not read the payload, and the partition columns.
+STATUS_COLUMN = "http_status"
 PARTITION_COLUMNS = ("created_date", "batch")
 
 
@@ -49,6 +52,7 @@ EVENT_STRUCT = StructType([_field(c) for c in EVENT_COLUMNS])
 STORED_SCHEMA = StructType([_field(c) for c in STORED_COLUMNS])
 TABLE_SCHEMA = StructType(
     STORED_SCHEMA.fields
+    + [StructField(STATUS_COLUMN, IntegerType())]
     + [StructField("created_date", DateType()), StructField("batch", StringType())]
 )
 GROUP_SCHEMA = StructType(

@@ -13,8 +13,9 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from trailspark.functions.status import http_status
 from trailspark.operators.filters import time_bounds
-from trailspark.schema import PARTITION_COLUMNS, STORED_COLUMNS, stored
+from trailspark.schema import PARTITION_COLUMNS, STATUS_COLUMN, STORED_COLUMNS, stored
 from trailspark.sources.events import read_events
 
 LOOKUP_COLUMNS = ("request_id", "actor", "target_id")
@@ -31,10 +32,8 @@ def append_events(events: DataFrame, path: str, batch: str) -> None:
     Writing the same batch again replaces it, so a retry after a lost acknowledgement leaves
     each event once. No shuffle: each task writes the days it holds.
     """
-    _write(
-        stored(events).withColumns({"created_date": F.to_date("created_at"), "batch": F.lit(batch)}),
-        path,
-    )
+    physical = {STATUS_COLUMN: http_status(), "created_date": F.to_date("created_at"), "batch": F.lit(batch)}
+    _write(stored(events).withColumns(physical), path)
 
 
 def compact_days(
@@ -55,9 +54,10 @@ def compact_days(
         events = events.filter(bound)
     spread = (
         events.withColumn("batch", F.lit(COMPACTED))
+        .withColumn(STATUS_COLUMN, F.coalesce(STATUS_COLUMN, http_status()))
         .withColumn("_hour", F.hour("created_at"))
         .hint("rebalance", "created_date", "_hour")
-        .select(*STORED_COLUMNS, *PARTITION_COLUMNS)
+        .select(*STORED_COLUMNS, STATUS_COLUMN, *PARTITION_COLUMNS)
     )
     _write(spread, target, BLOOM_FILTERS)
 

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trailspark.schema import GROUP_SCHEMA, TABLE_SCHEMA
+from trailspark.schema import GROUP_SCHEMA, STATUS_COLUMN, TABLE_SCHEMA
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Events as stored, with the partition columns the filters prune on.
+def read_events(spark: SparkSession, path: str, *, status_stored: bool = True) -> DataFrame:
+    """Events as stored, with the physical columns the filters prune on.
 
     The schema is given, not inferred: files older than a column read NULL there, which every
     result shows as ''. Filters see the plain column and so still reach the scan.
+
+    Every file `append_events` writes has the status beside the metadata. For a table with
+    files from elsewhere, say `status_stored=False` and the status is read from the metadata;
+    `compact_days` fills it in.
     """
-    return spark.read.schema(TABLE_SCHEMA).parquet(path)
+    events = spark.read.schema(TABLE_SCHEMA).parquet(path)
+    return events if status_stored else events.drop(STATUS_COLUMN)
 
 
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
