@@ -46,10 +46,11 @@ from trailspark.sinks.dead_letters import read_dead_letters, write_dead_letters
 from trailspark.sinks.events import append_events, compact_days
 from trailspark.sinks.ledger import batch_size_histogram, ledger_totals, read_ledger
 from trailspark.sinks.messages import write_messages
-from trailspark.sources.envelopes import decode_envelopes, explode_events, read_envelopes
+from trailspark.sources.envelopes import decode_envelopes, explode_events, read_envelopes, stream_envelopes
 from trailspark.sources.events import read_events, read_rollup
 from trailspark.sources.messages import COORDINATES, from_files, from_text, stream_files
 from trailspark.streaming.ingest import IngestTables, start_ingest
+from trailspark.streaming.publish import refused, start_publish
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -396,6 +397,20 @@ def run_ingest(spark: SparkSession, sf_dir: str, fail_after: int | None = None)
     return tables
 
 
+def stream_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch documents published as messages by a stream, and the messages decoded."""
+    root = scratch(spark, "publish")
+    envelopes = stream_envelopes(spark, envelope_files(spark, sf_dir))
+    start_publish(envelopes, f"{root}/messages", f"{root}/checkpoint", available_now=True).awaitTermination()
+    decoded = decode_messages(from_text(spark, f"{root}/messages")).select("event.*", "dead_reason")
+    return plain_times(normalize(decoded, F.lit(ARRIVAL).cast("timestamp")))
+
+
+def refused_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = refused(read_envelopes(spark, envelope_files(spark, sf_dir))).groupBy("reason", "n_events")
+    return counted.agg(F.count("*").alias("n"))
+
+
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = run_ingest(spark, sf_dir)
     return plain_times(read_events(spark, tables.events).select(*EVENT_COLUMNS))
@@ -453,6 +468,8 @@ QUERIES: dict[str, Query] = {
     "hourly_rollup": hourly_rollup,
     "table_rollup": table_rollup,
     "bucket_histogram": status_histogram,
+    "stream_publish": stream_publish,
+    "refused_envelopes": refused_envelopes,
     "stream_ingest": stream_ingest,
     "replay_idempotent": replay_idempotent,
     "stream_rollup": stream_rollup,

@@ -352,6 +352,27 @@ SELECT {LIST}, CASE WHEN more THEN (
 SELECT le, (SELECT COUNT(*) FROM trail WHERE status <= upper) AS bucket_count, n AS value_count, s AS value_sum
 FROM bounds, totals"""
     ),
+    "stream_publish": _audit(
+        "SELECT "
+        + ", ".join(
+            c
+            if c in ("before_state", "after_state", "metadata")
+            else "coalesce(nullif(created_at, TIMESTAMP '0001-01-01 00:00:00'), TIMESTAMP '2024-02-01 00:00:00') "
+            "AS created_at"
+            if c == "created_at"
+            else f"coalesce({c}, '') AS {c}"
+            for c in EVENT.split(", ")
+        )
+        + ", CAST(NULL AS VARCHAR) AS dead_reason FROM whole JOIN judged USING (batch) WHERE judged.reason IS NULL",
+        INTAKE, ENVELOPES,
+    ),
+    "refused_envelopes": _audit(
+        """SELECT reason, CAST(n_events AS INTEGER) AS n_events, COUNT(*) AS n
+FROM judged WHERE reason IS NOT NULL GROUP BY ALL
+UNION ALL SELECT CASE WHEN batch % 20 = 7 THEN 'decode_error' ELSE 'events required' END, 0, COUNT(*)
+FROM others GROUP BY ALL""",
+        INTAKE, ENVELOPES,
+    ),
     "stream_ingest": _audit(f"SELECT {EVENT} FROM good", DELIVERED),
     "replay_idempotent": _audit(f"SELECT {EVENT} FROM good", DELIVERED),
     "stream_rollup": _trail(f", {_grouped()}\nSELECT {GROUP_COLUMNS} FROM grouped", "good", DELIVERED),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trailspark.functions.once import compute_once
 from trailspark.operators.decode import (
@@ -19,10 +19,24 @@ from trailspark.schema import EVENT_COLUMNS
 
 def read_envelopes(spark: SparkSession, path: str, *, whole_files: bool = False) -> DataFrame:
     """`body` with its coordinates `source_file, source_row`."""
-    return spark.read.text(path, wholetext=whole_files).select(
+    return _bodies(spark.read.text(path, wholetext=whole_files), F.monotonically_increasing_id())
+
+
+def stream_envelopes(
+    spark: SparkSession, path: str, *, whole_files: bool = False, max_files_per_trigger: int | None = None
+) -> DataFrame:
+    """The same as files arrive; a stream numbers no rows."""
+    reader = spark.readStream
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return _bodies(reader.text(path, wholetext=whole_files), F.lit(None).cast("bigint"))
+
+
+def _bodies(df: DataFrame, row: Column) -> DataFrame:
+    return df.select(
         F.col("value").alias("body"),
         F.col("_metadata.file_path").alias("source_file"),
-        F.monotonically_increasing_id().alias("source_row"),
+        row.alias("source_row"),
     )
 
 
