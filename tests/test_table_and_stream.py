@@ -26,8 +26,10 @@ from trailspark.sinks.ledger import (
     write_seconds_histogram,
 )
 from trailspark.sources.events import read_events, read_rollup
+from trailspark.sources.envelopes import read_envelopes, stream_envelopes
 from trailspark.sources.messages import from_files, stream_text
 from trailspark.streaming.ingest import IngestTables, batch_key, start_ingest
+from trailspark.streaming.publish import refused, start_publish
 
 
 def same(left, right) -> bool:
@@ -232,6 +234,41 @@ def test_arrival_time_survives_a_replay(spark, tmp_path):
     assert read_dead_letters(spark, tables.dead_letters).count() == 1
 
 
+def test_batch_documents_reach_the_table_once(spark, tmp_path):
+    """Two streams in a row, the second stopped and started again while files arrive."""
+    root = str(tmp_path)
+    (tmp_path / "in").mkdir()
+    event = '{"actor":"%s","action":"user.create","target_type":"t","scope_type":"s","created_at":"2024-01-01T00:00:00Z"}'
+    tables = IngestTables(f"{root}/events", f"{root}/dead", f"{root}/ledger")
+
+    def arrive(name, *bodies):
+        (tmp_path / "in" / name).write_text("".join(b + "\n" for b in bodies))
+        envelopes = stream_envelopes(spark, f"{root}/in")
+        start_publish(envelopes, f"{root}/messages", f"{root}/c1", available_now=True).awaitTermination()
+
+    def ingest(after_batch=None):
+        messages = stream_text(spark, f"{root}/messages")
+        start_ingest(
+            messages, tables, f"{root}/c2", available_now=True, after_batch=after_batch
+        ).awaitTermination()
+
+    def lose(batch_id):
+        raise RuntimeError("lost")
+
+    arrive("a", '{"events":[%s,%s]}' % (event % "a1", event % "a2"), '{"events":[%s,%s]}' % (event % "x", event % ""))
+    with pytest.raises(Exception, match="lost"):
+        ingest(lose)
+    arrive("b", '{"events":[%s]}' % (event % "b1"), '{"events":[]}', "oops")
+    ingest()
+    ingest()
+    rows = read_events(spark, tables.events).collect()
+    assert sorted(r["actor"] for r in rows) == ["a1", "a2", "b1"] and len({r["id"] for r in rows}) == 3
+    given = read_envelopes(spark, f"{root}/in")
+    assert sorted(r["reason"] for r in refused(given).collect()) == [
+        "actor is required", "decode_error", "events required",
+    ]
+
+
 def test_batch_keys_sort_by_number():
     assert batch_key("q", 2) < batch_key("q", 10) and batch_key("q", 2) != batch_key("r", 2)
 

@@ -368,7 +368,7 @@ class _Lost(RuntimeError):
 
 
 def run_ingest(spark: SparkSession, sf_dir: str, fail_after: int | None = None) -> IngestTables:
-    """Stream all deliveries in about four micro-batches.
+    """Stream all deliveries in two micro-batches.
 
     With `fail_after` the stream stops once between the writes of that batch and its commit
     and is started again.
@@ -376,7 +376,7 @@ def run_ingest(spark: SparkSession, sf_dir: str, fail_after: int | None = None)
     root = scratch(spark, "ingest")
     tables = IngestTables(f"{root}/events", f"{root}/dead", f"{root}/ledger", f"{root}/rollup")
     source = delivery_files(spark, sf_dir)
-    files = max(1, len(spark.read.parquet(source).inputFiles()) // 4)
+    files = max(1, len(spark.read.parquet(source).inputFiles()) // 2)
 
     def lose(batch_id: int) -> None:
         if batch_id == fail_after:
