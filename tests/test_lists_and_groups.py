@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +140,13 @@ def test_groups_of_parts_merge_to_the_whole(spark, table, tmp_path):
     assert merged.schema.simpleString() == whole.schema.simpleString()
     assert sorted(merged.collect()) == sorted(whole.collect())
 
+    target, day = str(tmp_path / "days"), date(2024, 1, 7)
+    for _ in range(2):
+        write_rollup(merge_groups(read_rollup(spark, path, day, day)), target, "compacted")
+    compacted = read_rollup(spark, target)
+    assert sorted(compacted.collect()) == sorted(whole.filter(F.to_date("bucket_start") == F.lit(day)).collect())
+    assert "2024-01-07" in scan_part(read_rollup(spark, path, day, day), "PartitionFilters")
+
 
 def test_group_aggregation_combines_before_the_shuffle(table):
     text = plan(group_events(table))

@@ -57,6 +57,15 @@ def test_append_adds_batches_and_replaces_a_repeated_one(spark, table, tmp_path)
     assert stored.filter("created_date != to_date(created_at)").count() == 0
 
 
+def test_a_bulk_load_writes_few_files(spark, table, tmp_path):
+    small, bulk = str(tmp_path / "small"), str(tmp_path / "bulk")
+    mixed = table.repartition(8, F.xxhash64("id"))
+    append_events(mixed, small, "b")
+    append_events(mixed, bulk, "b", bulk=True)
+    assert same(read_events(spark, small), read_events(spark, bulk))
+    assert len(parquet_files(bulk)) < len(parquet_files(small)) / 2
+
+
 def test_rows_of_a_file_run_newest_first(spark, table, tmp_path):
     path = str(tmp_path / "events")
     append_events(table.repartition(3), path, "b")

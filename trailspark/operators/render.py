@@ -46,16 +46,14 @@ def encode_messages(events: DataFrame) -> DataFrame:
 
 def page_json(events: DataFrame, next_cursor: str | None) -> DataFrame:
     """A page (100 rows at most, in order) as one JSON document; no events give null."""
-    return _document(events, "events", event_json(), _newest("created_at", "id"), next_cursor)
+    newest = [F.desc("created_at"), F.desc("id")]
+    return _document(events, "events", event_json(), newest, next_cursor)
 
 
 def groups_json(groups: DataFrame) -> DataFrame:
     """A list of groups (100 rows at most) as one JSON document."""
-    return _document(groups, "groups", group_json(), _newest("last_seen"), None)
-
-
-def _newest(*columns: str) -> list[Column]:
-    return [F.desc(c) for c in columns]
+    latest = [F.desc("last_seen"), *(F.asc(k) for k in GROUP_KEYS)]
+    return _document(groups, "groups", group_json(), latest, None)
 
 
 def _document(rows: DataFrame, name: str, body: Column, order: list[Column], cursor: str | None) -> DataFrame:

@@ -26,14 +26,20 @@ BLOOM_FILTERS = {"parquet.bloom.filter.adaptive.enabled": "true"} | {
 COMPACTED = "compacted"
 
 
-def append_events(events: DataFrame, path: str, batch: str) -> None:
+def append_events(events: DataFrame, path: str, batch: str, *, bulk: bool = False) -> None:
     """Append one batch of normalized events with ids; no rows write nothing.
 
     Writing the same batch again replaces it, so a retry after a lost acknowledgement leaves
-    each event once. No shuffle: each task writes the days it holds.
+    each event once. A micro-batch is written without a shuffle, each task the few days it
+    holds. Say `bulk` for a large load whose tasks hold many days: it is laid out like
+    compacted days.
     """
     physical = {STATUS_COLUMN: http_status(), "created_date": F.to_date("created_at"), "batch": F.lit(batch)}
-    _write(stored(events).withColumns(physical), path)
+    rows = stored(events).withColumns(physical)
+    if bulk:
+        _write(_spread(rows), path, BLOOM_FILTERS)
+    else:
+        _write(rows, path)
 
 
 def compact_days(
@@ -45,21 +51,27 @@ def compact_days(
 ) -> None:
     """Rewrite whole days of an append table into another table, replacing them there.
 
-    The small files of the micro-batches become even ones. Rows are spread by day and hour
-    with rebalancing, which splits an hour that holds a large part of the rows and needs no
-    sampling pass. Every day `since` and `until` touch is rewritten whole.
+    The small files of the micro-batches become even ones. Every day `since` and `until`
+    touch is rewritten whole.
     """
     events = read_events(spark, source)
     for bound in time_bounds(events.schema, since, until)[1::2]:  # the date bounds
         events = events.filter(bound)
-    spread = (
-        events.withColumn("batch", F.lit(COMPACTED))
-        .withColumn(STATUS_COLUMN, F.coalesce(STATUS_COLUMN, http_status()))
-        .withColumn("_hour", F.hour("created_at"))
+    status = F.coalesce(STATUS_COLUMN, http_status())
+    _write(_spread(events.withColumns({"batch": F.lit(COMPACTED), STATUS_COLUMN: status})), target, BLOOM_FILTERS)
+
+
+def _spread(events: DataFrame) -> DataFrame:
+    """Rows by day and hour, in partitions of even size.
+
+    Rebalancing splits an hour that holds a large part of the rows and merges thin ones, from
+    the sizes seen in the shuffle; it needs no sampling pass over the rows.
+    """
+    return (
+        events.withColumn("_hour", F.hour("created_at"))
         .hint("rebalance", "created_date", "_hour")
         .select(*STORED_COLUMNS, STATUS_COLUMN, *PARTITION_COLUMNS)
     )
-    _write(spread, target, BLOOM_FILTERS)
 
 
 def _write(events: DataFrame, path: str, options: Mapping[str, str] | None = None) -> None:

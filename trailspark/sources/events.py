@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from trailspark.schema import GROUP_SCHEMA, STATUS_COLUMN, TABLE_SCHEMA
 
@@ -21,9 +24,17 @@ def read_events(spark: SparkSession, path: str, *, status_stored: bool = True) -
     return events if status_stored else events.drop(STATUS_COLUMN)
 
 
-def read_rollup(spark: SparkSession, path: str) -> DataFrame:
-    """Group rows as written, one part per batch; `merge_groups` makes them one."""
-    schema = GROUP_SCHEMA.simpleString()[len("struct<"):-1].replace(":", " ")
-    return spark.read.schema(f"{schema}, bucket_date date, batch string").parquet(path).drop(
-        "bucket_date", "batch"
-    )
+def read_rollup(
+    spark: SparkSession, path: str, since: date | None = None, until: date | None = None
+) -> DataFrame:
+    """Group rows of the days asked for, as written, one part per batch.
+
+    `merge_groups` makes the parts one.
+    """
+    partitions = [StructField("bucket_date", DateType()), StructField("batch", StringType())]
+    parts = spark.read.schema(StructType(GROUP_SCHEMA.fields + partitions)).parquet(path)
+    if since is not None:
+        parts = parts.filter(F.col("bucket_date") >= F.lit(since))
+    if until is not None:
+        parts = parts.filter(F.col("bucket_date") <= F.lit(until))
+    return parts.select(*GROUP_SCHEMA.names)
