@@ -18,16 +18,25 @@ def rows(columns: list[str], values) -> list[tuple]:
     return sorted((tuple(row[i] for i in order) for row in values), key=repr)
 
 
-def spark_rows(df) -> tuple[list[str], list[tuple]]:
-    return sorted(df.columns), rows(df.columns, df.collect())
+TYPES = {
+    "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN", "double": "DOUBLE",
+    "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+}
 
 
-def duck_rows(sf_dir: str, sql: str) -> tuple[list[str], list[tuple]]:
+def spark_rows(df) -> tuple[list[tuple], list[tuple]]:
+    """(column name and type, sorted; rows, sorted)."""
+    columns = sorted((f.name, TYPES.get(f.dataType.simpleString(), "?")) for f in df.schema)
+    return columns, rows(df.columns, df.collect())
+
+
+def duck_rows(sf_dir: str, sql: str) -> tuple[list[tuple], list[tuple]]:
     with duckdb.connect() as con:
         table_views(con, sf_dir)
         result = con.execute(sql)
         columns = [d[0] for d in result.description]
-        return sorted(columns), rows(columns, result.fetchall())
+        types = sorted((d[0], str(d[1])) for d in result.description)
+        return types, rows(columns, result.fetchall())
 
 
 def main(sf: str, names: list[str]) -> int:
@@ -61,7 +70,7 @@ def main(sf: str, names: list[str]) -> int:
         failed += not same
         print(f"{'ok  ' if same else 'FAIL'} {name}: {len(got)} rows, {took:.2f} s", flush=True)
         if not same:
-            print("  columns", columns, wanted_columns, "rows", len(got), len(wanted))
+            print("  columns", set(columns) ^ set(wanted_columns), "rows", len(got), len(wanted))
             for side, a, b in (("spark only", got, wanted), ("sql only", wanted, got)):
                 for row in [r for r in a if r not in set(b)][:3]:
                     print("  ", side, row)

@@ -129,6 +129,13 @@ def flat_batches(spark):
     )
 
 
+def test_batches_are_hashed_not_sorted(spark):
+    from tests.plans import plan
+
+    text = plan(batch_decisions(flat_batches(spark), "batch", "pos"))
+    assert "HashAggregate" in text and "SortAggregate" not in text and "Sort " not in text
+
+
 @pytest.mark.parametrize("max_events", [None, 100])
 @pytest.mark.parametrize("threshold", ["10MB", "-1"])
 def test_flat_batches_against_brute_force(spark, max_events, threshold):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -16,6 +17,8 @@ EVENTS_REQUIRED = "events required"
 ENCODE_ERROR = "encode_error"
 MAX_RPC_EVENTS = 1000
 
+_REQUIRED = tuple(f"{c} is required" for c in REQUIRED_TEXT)
+
 #: Pieces a refused batch is split into when its events are matched to it.
 BATCH_SALTS = 32
 
@@ -27,13 +30,17 @@ def reject_reason(event: Column | None = None) -> Column:
     Text is not trimmed: a blank is a value.
     """
     value = F.col if event is None else event.getField
-    missing = [
-        F.when(F.coalesce(value(c), F.lit("")) == "", F.lit(f"{c} is required")) for c in REQUIRED_TEXT
-    ]
-    reason = F.coalesce(*missing)
+    reason = _first_missing(value, _REQUIRED)
     return reason if event is None else F.when(event.isNull(), F.lit(NIL_EVENT)).otherwise(reason)
 
 
+def _first_missing(value: Callable[[str], Column], labels: Sequence) -> Column:
+    """The label of the first required field that is missing or empty, NULL if none is."""
+    return F.coalesce(
+        *(F.when(F.coalesce(value(c), F.lit("")) == "", F.lit(label)) for c, label in zip(REQUIRED_TEXT, labels))
+    )
+
+
 def encode_reason() -> Column:
     """`encode_error` when a payload that is given is not JSON, else NULL."""
     broken = [(F.coalesce(F.col(c), F.lit("")) != "") & ~is_strict_json(c) for c in PAYLOADS]
@@ -61,8 +68,7 @@ def admit_envelopes(envelopes: DataFrame, max_events: int | None = None) -> Data
 
     The whole batch is in its row, so nothing moves between tasks.
     """
-    n_events = F.coalesce(F.size("events"), F.lit(0))
-    n_events = F.greatest(n_events, F.lit(0))
+    n_events = F.coalesce(F.array_size("events"), F.lit(0)).cast("bigint")
     first = F.get(F.filter(F.transform("events", reject_reason), lambda r: r.isNotNull()), F.lit(0))
     return envelopes.withColumn("n_events", n_events).withColumn(
         "reason", batch_reason(F.col("n_events"), first, max_events)
@@ -75,16 +81,16 @@ def batch_decisions(
     """`batch, n_events, reason` per batch of a flat table of events.
 
     Count and first reason combine before the shuffle, so a batch that holds a large part of
-    the table costs one row per task.
+    the table costs one row per task. Reasons travel as numbers: with text in its state the
+    aggregation would sort all events instead of hashing them.
     """
-    reason = reject_reason()
+    number = _first_missing(F.col, range(len(_REQUIRED)))
     decided = events.groupBy(batch).agg(
         F.count("*").alias("n_events"),
-        F.min(F.when(reason.isNotNull(), F.struct(F.col(position), reason.alias("reason")))).alias("first"),
-    )
-    return decided.select(
-        batch, "n_events", batch_reason(F.col("n_events"), F.col("first.reason"), max_events).alias("reason")
+        F.min_by(number, F.when(number.isNotNull(), F.col(position))).alias("first"),
     )
+    first = F.get(F.array(*(F.lit(r) for r in _REQUIRED)), F.col("first"))
+    return decided.select(batch, "n_events", batch_reason(F.col("n_events"), first, max_events).alias("reason"))
 
 
 def admitted_events(events: DataFrame, batch: str, position: str, max_events: int | None = None) -> DataFrame:

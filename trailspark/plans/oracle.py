@@ -367,7 +367,7 @@ FROM bounds, totals"""
         INTAKE, ENVELOPES,
     ),
     "refused_envelopes": _audit(
-        """SELECT reason, CAST(n_events AS INTEGER) AS n_events, COUNT(*) AS n
+        """SELECT reason, n_events, COUNT(*) AS n
 FROM judged WHERE reason IS NOT NULL GROUP BY ALL
 UNION ALL SELECT CASE WHEN batch % 20 = 7 THEN 'decode_error' ELSE 'events required' END, 0, COUNT(*)
 FROM others GROUP BY ALL""",
