@@ -4,20 +4,64 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from trailspark.llm.bpe import decode_ids, encode_texts, read_ranks
+from trailspark.llm.licenses import LICENSE_COLUMNS, scan_licenses
 from trailspark.llm.quality import quality_rules
-from trailspark.llm.tables import read_table
+from trailspark.llm.tables import read_table, scratch, whole_text
+from trailspark.llm.token_counts import count_tokens
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """Encode, decode the ids, and keep digests of both."""
+    ranks = read_ranks(RANKS)
+    encoded = encode_texts(docs, ranks, public_tokenizers.PATTERN).drop("text")
+    decoded = decode_ids(encoded, ranks, public_tokenizers.PATTERN)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own, empty at first: every run encodes what is distinct."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = count_tokens(docs, TOKENIZER, scratch(spark, "token-counts"))
+    return counted.select(
+        "doc_id",
+        F.octet_length(whole_text()).cast("long").alias("n_bytes"),
+        "n_tokens",
+        (F.col("n_tokens") > 1024).alias("over_limit"),
+    )
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules(read_table(spark, sf_dir, "documents"))
+    judged = quality_rules(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept",
     )
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan_licenses(docs).select("doc_id", *LICENSE_COLUMNS.names)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op4_token_counts": op4_token_counts,
     "op9_quality_rules": op9_quality_rules,
+    "op10_license_scan": op10_license_scan,
 }
