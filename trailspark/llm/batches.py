@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -25,6 +27,23 @@ def importable(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(p for p in [*paths, root] if p)
 
 
+def to_lists(column: pa.Array) -> list:
+    """Python values; lists of numbers go by way of one flat list."""
+    if not pa.types.is_list(column.type) or column.null_count or not pa.types.is_integer(column.type.value_type):
+        return column.to_pylist()
+    flat, ends = column.flatten().to_numpy().tolist(), np.cumsum(column.value_lengths().to_numpy()).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def to_array(values: list, kind: pa.DataType) -> pa.Array:
+    if not pa.types.is_list(kind) or not pa.types.is_integer(kind.value_type):
+        return pa.array(values, type=kind)
+    offsets = np.zeros(len(values) + 1, np.int32)
+    np.cumsum([len(v) for v in values], out=offsets[1:])
+    flat = np.fromiter(chain.from_iterable(values), kind.value_type.to_pandas_dtype(), int(offsets[-1]))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), type=kind)
+
+
 def map_rows(
     df: DataFrame,
     keep: list[str],
@@ -49,10 +68,10 @@ def map_rows(
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
                 named = dict(zip(order, part.columns))
-                rows = work(*(named[c].to_pylist() for c in reads))
+                rows = work(*(to_lists(named[c]) for c in reads))
                 columns = [named[c] for c in keep]
                 for k, field in enumerate(added.fields):
-                    columns.append(pa.array([r[k] for r in rows], type=arrow.field(len(keep) + k).type))
+                    columns.append(to_array([r[k] for r in rows], arrow.field(len(keep) + k).type))
                 yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
 
     return df.select(*order).mapInArrow(run, schema)

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Callable
 from itertools import chain
 
 import regex
@@ -25,10 +26,12 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from trailspark.llm.batches import map_rows
 
-#: Pieces up to this many bytes are merged directly.
-LEAF_BYTES = 24
+#: Strings up to this many bytes are merged directly.
+LEAF_BYTES = 12
+LEAF_MEMO_BYTES = 16
 #: Encodings remembered per task: two generations of this many entries.
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 220_000
+MEMO_CHARS = 64
 
 _BEFORE_BLANK = re.compile(r" (?!\S)")
 _CHUNK_START = re.compile(r" (?=\S)")
@@ -46,18 +49,32 @@ def chunks(text: str) -> list[str]:
 
 
 class Memo:
-    """A dictionary of bounded size: what was not asked for in the last generation goes."""
+    """Values of chunks, computed for those not met lately; bounded in entries and their length."""
 
-    def __init__(self, entries: int = MEMO_ENTRIES):
+    def __init__(self, compute: Callable[[list[str]], list], entries: int = MEMO_ENTRIES):
+        self.compute = compute
         self.entries = entries
         self.young: dict = {}
         self.old: dict = {}
 
-    def put(self, key, value):
-        if len(self.young) >= self.entries:
+    def look_up(self, lists: list[list[str]]) -> list[list]:
+        """The values of the chunks in each list."""
+        if len(self.young) > self.entries:
             self.old, self.young = self.young, {}
-        self.young[key] = value
-        return value
+        young, old = self.young, self.old
+        new = []
+        for chunk in set(chain.from_iterable(lists)).difference(young):
+            value = old.get(chunk)
+            if value is None:
+                new.append(chunk)
+            else:
+                young[chunk] = value
+        young.update(zip(new, self.compute(new)))
+        values = [list(map(young.__getitem__, chunks)) for chunks in lists]
+        for chunk in new:
+            if len(chunk) > MEMO_CHARS:
+                del young[chunk]
+        return values
 
 
 class ByteBpe:
@@ -70,8 +87,10 @@ class ByteBpe:
         for token, rank in self.ids.items():
             self.tokens[rank] = token
         self.pattern = regex.compile(pattern)
-        self.memo = Memo()
-        self.fits = Memo()
+        self.memo = Memo(lambda new: [self.encode_chunk(" " + chunk) for chunk in new])
+        self.pieces: dict[str, list[int]] = {}
+        self.leaves: dict[bytes, list[int]] = {}
+        self.fits: dict[tuple[int, int], bool] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Merge the lowest-ranked adjacent pair, the leftmost first, until none is left."""
@@ -80,26 +99,40 @@ class ByteBpe:
         if whole is not None:
             return [whole]
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ids.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+        none = len(self.tokens)
+        ranks = [ids.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            at = ranks.index(best)
+            parts[at] += parts.pop(at + 1)
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = ids.get(parts[at] + parts[at + 1], none)
+            if at:
+                ranks[at - 1] = ids.get(parts[at - 1] + parts[at], none)
         return [ids[p] for p in parts]
 
+    def leaf(self, data: bytes) -> list[int]:
+        """`merge`, remembered: short strings of bytes recur in most words."""
+        known = self.leaves.get(data)
+        if known is None:
+            known = self.merge(data)
+            if len(data) <= LEAF_MEMO_BYTES:
+                if len(self.leaves) > MEMO_ENTRIES:
+                    self.leaves.clear()
+                self.leaves[data] = known
+        return known
+
     def stable(self, left: int, right: int) -> bool:
         """Whether the two tokens side by side are the encoding of their bytes."""
         key = (left, right)
-        known = self.fits.young.get(key)
+        known = self.fits.get(key)
         if known is None:
-            known = self.fits.old.get(key)
-            if known is None:
-                known = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
-            self.fits.put(key, known)
+            if len(self.fits) > MEMO_ENTRIES:
+                self.fits.clear()
+            known = self.fits[key] = self.leaf(self.tokens[left] + self.tokens[right]) == [left, right]
         return known
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -110,7 +143,7 @@ class ByteBpe:
         while True:
             i, j = min(i, len(left)), min(j, len(right))
             seam = b"".join(self.tokens[t] for t in chain(left[len(left) - i :], right[:j]))
-            window = self.merge(seam)
+            window = self.leaf(seam)
             grow_left = i < len(left) and not self.stable(left[-i - 1], window[0])
             grow_right = j < len(right) and not self.stable(window[-1], right[j])
             if not grow_left and not grow_right:
@@ -120,29 +153,33 @@ class ByteBpe:
 
     def encode_piece(self, data: bytes) -> list[int]:
         if len(data) <= LEAF_BYTES:
-            return self.merge(data)
+            return self.leaf(data)
         middle = len(data) // 2
         return self.join(self.encode_piece(data[:middle]), self.encode_piece(data[middle:]))
 
     def encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        pieces = self.pattern.findall(chunk)
-        return tuple(chain.from_iterable(self.encode_piece(p.encode()) for p in pieces))
+        ids: list[int] = []
+        for piece in self.pattern.findall(chunk):
+            known = self.pieces.get(piece)
+            if known is None:
+                known = self.encode_piece(piece.encode())
+                if len(self.pieces) > MEMO_ENTRIES:
+                    self.pieces.clear()
+                if len(piece) <= MEMO_CHARS:
+                    self.pieces[piece] = known
+            ids += known
+        return tuple(ids)
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        cut = [chunks(text) for text in texts]
+        values = self.memo.look_up([rest for _, *rest in cut])
+        return [
+            [*self.encode_chunk(first), *chain.from_iterable(ids)]
+            for (first, *_), ids in zip(cut, values)
+        ]
 
     def encode(self, text: str) -> list[int]:
-        first, *rest = chunks(text)
-        parts = [self.encode_chunk(first)]
-        young, old = self.memo.young, self.memo.old
-        for chunk in rest:
-            ids = young.get(chunk)
-            if ids is None:
-                ids = old.get(chunk)
-                if ids is None:
-                    ids = self.encode_chunk(" " + chunk)
-                if len(chunk) <= 64:
-                    self.memo.put(chunk, ids)
-                    young, old = self.memo.young, self.memo.old
-            parts.append(ids)
-        return list(chain.from_iterable(parts))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         """Join the bytes of both halves, up the tree."""
@@ -174,7 +211,7 @@ def encode_texts(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text"
 
     def make():
         codec = _codec(ranks, pattern)
-        return lambda texts: [(codec.encode(t or ""),) for t in texts]
+        return lambda texts: [(ids,) for ids in codec.encode_all([t or "" for t in texts])]
 
     added = StructType([StructField("ids", ArrayType(IntegerType(), False), False)])
     return map_rows(docs, [c for c in docs.columns if c != "ids"], [text], added, make)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trailspark.llm.bpe import decode_ids, encode_texts, read_ranks
 from trailspark.llm.licenses import LICENSE_COLUMNS, scan_licenses
 from trailspark.llm.quality import quality_rules
+from trailspark.llm.simhash import near_duplicates
 from trailspark.llm.tables import read_table, scratch, whole_text
 from trailspark.llm.token_counts import count_tokens
 
@@ -46,6 +47,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select(
@@ -62,6 +70,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_token_counts": op4_token_counts,
+    "op6_simhash": op6_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
 }

@@ -77,37 +77,17 @@ class Counter:
             and not before.get("add_prefix_space", True)
             and rules["model"].get("dropout") is None
         )
-        self.memo = Memo()
+        self.memo = Memo(lambda new: self.library([" " + chunk for chunk in new]), entries=400_000)
 
     def count(self, texts: list[str]) -> list[int]:
         if not self.by_chunks:
             return self.library(texts)
         counts: list[int | None] = [None] * len(texts)
-        split, missing = {}, {}
-        for k, text in enumerate(texts):
-            if any(token in text for token in self.added):
-                continue
-            first, *rest = chunks(text)
-            split[k] = (first, rest)
-            for chunk in rest:
-                if chunk not in self.memo.young:
-                    if chunk in self.memo.old:
-                        missing[chunk] = self.memo.old[chunk]
-                    else:
-                        missing[chunk] = None
-        new = [c for c, n in missing.items() if n is None]
-        missing.update(zip(new, self.library([" " + c for c in new])))
-        heads = iter(self.library([first for first, _ in split.values()]))
-        known = self.memo.young
-        for k, (_, rest) in split.items():
-            total = next(heads)
-            for chunk in rest:
-                n = known.get(chunk)
-                total += missing[chunk] if n is None else n
-            counts[k] = total
-        for chunk, n in missing.items():
-            if len(chunk) <= 64:
-                self.memo.put(chunk, n)
+        plain = [k for k, text in enumerate(texts) if not any(t in text for t in self.added)]
+        cut = [chunks(texts[k]) for k in plain]
+        rests = self.memo.look_up([rest for _, *rest in cut])
+        for k, head, rest in zip(plain, self.library([first for first, *_ in cut]), rests):
+            counts[k] = head + sum(rest)
         whole = [k for k, n in enumerate(counts) if n is None]
         for k, n in zip(whole, self.library([texts[k] for k in whole])):
             counts[k] = n
