@@ -18,7 +18,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trailspark.functions.once import compute_once
 from trailspark.llm.tables import BLANKS, whole_text, words_of
+from trailspark.llm.windows import add_window_hashes
 
 #: Frequent words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -69,17 +71,10 @@ def _passes(rule: Rule) -> Column:
 def _repeat_words(df: DataFrame) -> DataFrame:
     """Add `n_repeat_words` for the array `_words`: words inside a window that occurs twice.
 
-    Hashes of windows of 2, 4 and 8 words are built from the hashes of their halves. Only a
-    text in which a window repeats sorts its windows; equal neighbours are the repeats, and
-    the gaps between their positions give the words they cover.
+    Only a text in which a window repeats sorts its windows; equal neighbours are the repeats,
+    and the gaps between their positions give the words they cover.
     """
-    df = df.withColumn("_h", F.when(F.size("_words") >= WINDOW, F.transform("_words", lambda w: F.xxhash64(w))))
-    span = 1
-    while span < WINDOW:
-        count = F.size("_h") - span
-        left, right = F.slice("_h", F.lit(1), count), F.slice("_h", F.lit(span + 1), count)
-        df = df.withColumn("_h", F.zip_with(left, right, lambda a, b: F.xxhash64(a, b)))
-        span *= 2
+    df = add_window_hashes(df, "_words", "_h", WINDOW)
     repeats = F.size(F.array_distinct("_h")) < F.size("_h")
     pairs = F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     df = df.withColumn("_h", F.when(repeats, F.sort_array(pairs)))
@@ -160,5 +155,5 @@ def quality_rules(
     base = F.lit(False)
     for rule in BASE_RULES:
         base = base | ~_passes(rule)
-    df = df.select("*", base.alias("base_failed"), failed.alias("failed_rules"))
+    df = compute_once(df, base_failed=base, failed_rules=failed)
     return df.withColumn("kept", F.size("failed_rules") == 0)

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailspark.llm.bpe import decode_ids, encode_texts, read_ranks
+from trailspark.llm.decontaminate import decontaminate
 from trailspark.llm.licenses import LICENSE_COLUMNS, scan_licenses
 from trailspark.llm.quality import quality_rules
 from trailspark.llm.simhash import near_duplicates
@@ -54,6 +55,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", "contaminated", "item_ids", "kinds")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select(
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_token_counts": op4_token_counts,
     "op6_simhash": op6_simhash,
+    "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
 }
