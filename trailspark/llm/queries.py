@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trailspark.llm.bpe import decode_ids, encode_texts, read_ranks
 from trailspark.llm.decontaminate import decontaminate
 from trailspark.llm.licenses import LICENSE_COLUMNS, scan_licenses
+from trailspark.llm.paragraphs import remove_repeats
 from trailspark.llm.quality import quality_rules
 from trailspark.llm.simhash import near_duplicates
 from trailspark.llm.tables import read_table, scratch, whole_text
@@ -55,6 +56,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_token_counts": op4_token_counts,
     "op6_simhash": op6_simhash,
+    "op7_paragraph_dedup": op7_paragraph_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
