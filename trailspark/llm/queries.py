@@ -13,6 +13,7 @@ from trailspark.llm.licenses import LICENSE_COLUMNS, scan_licenses
 from trailspark.llm.paragraphs import remove_repeats
 from trailspark.llm.quality import quality_rules
 from trailspark.llm.simhash import near_duplicates
+from trailspark.llm.suffixes import remove_repeated_strings
 from trailspark.llm.tables import read_table, scratch, whole_text
 from trailspark.llm.token_counts import count_tokens
 
@@ -37,6 +38,19 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = remove_repeated_strings(docs)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return done.select(
+        "doc_id",
+        (F.octet_length("kept") + removed).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a cache of its own, empty at first: every run encodes what is distinct."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -82,6 +96,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_counts": op4_token_counts,
     "op6_simhash": op6_simhash,
     "op7_paragraph_dedup": op7_paragraph_dedup,
