@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailspark.llm.bpe import decode_ids, encode_texts, read_ranks
 from trailspark.llm.decontaminate import decontaminate
+from trailspark.llm.language_model import score_documents
 from trailspark.llm.licenses import LICENSE_COLUMNS, scan_licenses
 from trailspark.llm.paragraphs import remove_repeats
 from trailspark.llm.quality import quality_rules
@@ -21,6 +22,13 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -95,6 +103,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_model": op1_language_model,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_counts": op4_token_counts,
