@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailspark.llm.bpe import decode_ids, encode_texts, read_ranks
+from trailspark.llm.content import extract_pages
 from trailspark.llm.decontaminate import decontaminate
 from trailspark.llm.language_model import score_documents
 from trailspark.llm.licenses import LICENSE_COLUMNS, scan_licenses
@@ -71,6 +72,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select(
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_html_extraction": op5_html_extraction,
     "op6_simhash": op6_simhash,
     "op7_paragraph_dedup": op7_paragraph_dedup,
     "op8_decontamination": op8_decontamination,
