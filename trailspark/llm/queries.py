@@ -31,13 +31,13 @@ def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_digests(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return bpe_digests(read_table(spark, sf_dir, "documents"))
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Encode, decode the ids, and keep digests of both."""
     ranks = read_ranks(RANKS)
-    encoded = encode_texts(docs, ranks, public_tokenizers.PATTERN).drop("text")
+    encoded = encode_texts(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN).drop("text")
     decoded = decode_ids(encoded, ranks, public_tokenizers.PATTERN)
     return decoded.select(
         "doc_id",

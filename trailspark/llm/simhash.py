@@ -33,6 +33,8 @@ SEED = 42
 BITS = 64
 #: Largest bucket compared within a task.
 BUCKET = 1024
+#: Largest side that is sent to every task: 2^20 ids are eight megabytes.
+BROADCAST_ROWS = 1 << 20
 
 
 def shingle_hashes(text: str | None, words: int) -> list[int]:
@@ -161,3 +163,22 @@ def near_duplicates(
     smallest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = classes.join(smallest, "root").select("simhash", "component_id")
     return slim.join(classes, "simhash").select(doc_id, "simhash", "component_id")
+
+
+def one_of_each(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3
+) -> DataFrame:
+    """The document with the smallest id of each component; one row where an id repeats.
+
+    Rows without an id cannot be told apart and are all kept.
+    """
+    found = saved(near_duplicates(docs, doc_id, text, words, radius), "components")
+    kept = found.filter(F.col(doc_id) == F.col("component_id")).groupBy(doc_id).count()
+    kept = saved(kept, "kept")
+    rows, most = kept.agg(F.count("*"), F.max("count")).first()
+    chosen = kept.select(doc_id)
+    chosen = F.broadcast(chosen) if rows <= BROADCAST_ROWS else chosen
+    named = docs.join(chosen, doc_id, "left_semi").select(*docs.columns)
+    if (most or 0) > 1:
+        named = named.dropDuplicates([doc_id])
+    return named.union(docs.filter(F.col(doc_id).isNull()))
