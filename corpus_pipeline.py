@@ -6,7 +6,7 @@ read again as the next stage's documents. All but the last return the columns of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailspark.llm.decontaminate import decontaminate
 from trailspark.llm.paragraphs import remove_repeats
@@ -31,7 +31,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without paragraphs that an earlier document or line has."""
-    return remove_repeats(docs).select(*docs.columns)
+    cleaned = remove_repeats(docs)
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cleaned.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
