@@ -402,6 +402,7 @@ def repeated_spans(texts: DataFrame, group: int = GROUP) -> DataFrame:
     """
     found = _find_anchors(texts)
     several = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    several = saved(several, "grams")  # else the join could not split a gram that holds many rows
     found = saved(found.join(several, "gram"), "anchors")
     contexts = found.groupBy("gram", "context").agg(
         F.count("*").alias("n"), F.min(F.struct("key", "at", "low", "high")).alias("r")
