@@ -147,11 +147,15 @@ def repeated_paragraphs(
         F.min(F.struct("_id", "no")).alias("first"), F.count("*").alias("n"), F.min("bands").alias("bands")
     )
     nodes = saved(nodes.select("k1", "first", "n", "bands"), "nodes")
-    buckets = nodes.select("k1", F.posexplode("bands").alias("band", "h"))
-    mixed = F.struct(F.xxhash64("k1", "band").alias("order"), "k1")
-    centres = buckets.groupBy("band", "h").agg(F.count("*").alias("n"), F.min(mixed).alias("a"), F.max(mixed).alias("b"))
-    centres = centres.filter("n > 1").select("band", "h", F.col("a.k1").alias("a"), F.col("b.k1").alias("b"))
-    met = buckets.join(centres, ["band", "h"]).select(F.col("k1"), F.explode(F.array("a", "b")).alias("c"))
+    # a band's hash is seeded by its number, so it names the bucket; mixed with it, the key of a
+    # member has another order in every bucket, and mixing again gives the key back
+    buckets = nodes.select("k1", F.explode("bands").alias("h"))
+    mixed = F.col("k1").bitwiseXOR(F.col("h"))
+    centres = buckets.groupBy("h").agg(F.min(mixed).alias("a"), F.max(mixed).alias("b")).filter("a <> b")
+    centres = centres.select(
+        "h", F.col("a").bitwiseXOR(F.col("h")).alias("a"), F.col("b").bitwiseXOR(F.col("h")).alias("b")
+    )
+    met = buckets.join(centres, "h").select("k1", F.explode(F.array("a", "b")).alias("c"))
     pairs = met.filter(F.col("k1") != F.col("c")).select(
         F.least("k1", "c").alias("a"), F.greatest("k1", "c").alias("b")
     )
