@@ -62,14 +62,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a cache of its own, empty at first: every run encodes what is distinct."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", F.octet_length(whole_text()).cast("long").alias("n_bytes"), "text")
     counted = count_tokens(docs, TOKENIZER, scratch(spark, "token-counts"))
-    return counted.select(
-        "doc_id",
-        F.octet_length(whole_text()).cast("long").alias("n_bytes"),
-        "n_tokens",
-        (F.col("n_tokens") > 1024).alias("over_limit"),
-    )
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
