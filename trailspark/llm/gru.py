@@ -3,7 +3,8 @@
 The next token is predicted in two factors, its class and the word within the class. Texts
 run in lanes next to each other; a lane's state is carried from window to window and set to
 zero where a text begins, so a text of any length is scored as a whole. Training cuts the
-gradient at the ends of the windows (truncated backpropagation) and uses Adam.
+gradient at the ends of the windows and the state at the ends of long segments (truncated
+backpropagation) and uses Adam.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ HIDDEN = 16
 CLASS_SIZE = 32
 LANES = 512
 WINDOW = 16
+SEGMENT = 256
 RATE = 0.01
 #: Tokens of a window from which on it counts in full.
 FULL = 4096
@@ -187,8 +189,9 @@ class Trainer:
         self.tokens = 0
 
     def learn(self, texts: list[np.ndarray], begin: int) -> None:
-        """One pass over the texts."""
-        lanes = Lanes(texts, begin)
+        """One pass over the texts; long ones are cut into segments, which fill the lanes evenly."""
+        segments = [text[k : k + SEGMENT] for text in texts for k in range(0, len(text), SEGMENT)]
+        lanes = Lanes(segments, begin)
         h = np.zeros((len(lanes.held), HIDDEN), np.float32)
         for a, b, active in lanes.windows():
             h[:active] = self._window(lanes, a, b, active, h[:active])
