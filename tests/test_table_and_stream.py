@@ -52,7 +52,7 @@ def test_append_adds_batches_and_replaces_a_repeated_one(spark, table, tmp_path)
     append_events(halves[0], path, "b0")
     append_events(halves[1], path, "b1")
     append_events(halves[0], path, "b0")
-    stored = read_events(spark, path)
+    stored = read_events(spark, path, status_stored=True)
     assert same(stored.select(*STORED_COLUMNS), table.select(*STORED_COLUMNS))
     assert stored.filter("created_date != to_date(created_at)").count() == 0
 
@@ -62,7 +62,7 @@ def test_a_bulk_load_writes_few_files(spark, table, tmp_path):
     mixed = table.repartition(8, F.xxhash64("id"))
     append_events(mixed, small, "b")
     append_events(mixed, bulk, "b", bulk=True)
-    assert same(read_events(spark, small), read_events(spark, bulk))
+    assert same(read_events(spark, small, status_stored=True), read_events(spark, bulk, status_stored=True))
     assert len(parquet_files(bulk)) < len(parquet_files(small)) / 2
 
 
@@ -83,9 +83,9 @@ def test_compaction_rewrites_whole_days_and_can_run_again(spark, sf_dir, tmp_pat
     for _ in range(2):
         compact_days(spark, source, target, since, until)
     wanted = given.filter("to_date(created_at) BETWEEN DATE'2024-01-04' AND DATE'2024-01-06'")
-    assert same(read_events(spark, target).select(*STORED_COLUMNS), wanted)
+    assert same(read_events(spark, target, status_stored=True).select(*STORED_COLUMNS), wanted)
     compact_days(spark, source, target)
-    assert same(read_events(spark, target).select(*STORED_COLUMNS), given)
+    assert same(read_events(spark, target, status_stored=True).select(*STORED_COLUMNS), given)
     assert len(parquet_files(target)) < len(parquet_files(source))
 
 
@@ -126,7 +126,7 @@ def test_an_hour_that_holds_most_rows_is_split(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     assert len([f for f in parquet_files(target) if "2024-01-01" in f]) > 2
-    assert same(read_events(spark, target).select("id", "created_at"), rows.select("id", "created_at"))
+    assert same(read_events(spark, target, status_stored=True).select("id", "created_at"), rows.select("id", "created_at"))
 
 
 def test_lookup_by_request_reads_the_plain_column(spark, table):
@@ -141,12 +141,12 @@ def test_old_files_read_blank(spark, sf_dir, tmp_path):
     given.filter("event_id < 100").drop("event_id", *late).write.partitionBy("created_date", "batch").parquet(path)
     new = given.filter("event_id >= 100").drop("event_id")
     new.write.mode("append").partitionBy("created_date", "batch").parquet(path)
-    events = read_events(spark, path, status_stored=False)
+    events = read_events(spark, path)
     assert events.filter("service IS NULL").count() == 100
     assert group_events(events).agg(F.sum("success_count")).first()[0] > 0
     compacted = str(tmp_path / "compacted")
     compact_days(spark, path, compacted)
-    assert same(group_events(events), group_events(read_events(spark, compacted)))
+    assert same(group_events(events), group_events(read_events(spark, compacted, status_stored=True)))
     assert filter_events(events, EventFilter(service="web-svc")).filter("service IS NULL").count() == 0
     page = fetch_page(events, EventFilter(until=datetime(2024, 1, 2, tzinfo=timezone.utc), limit=5))
     assert {r[c] for r in page.events for c in late} == {""}
@@ -172,7 +172,7 @@ def replayed(spark, sf_dir):
 
 
 def test_stream_stores_every_good_event_once(spark, sf_dir, ingested):
-    stored = read_events(spark, ingested.events)
+    stored = read_events(spark, ingested.events, status_stored=True)
     assert same(stored.select(*EVENT_COLUMNS), good(spark, sf_dir))
     assert stored.select("id").distinct().count() == stored.count()
     assert stored.select("batch").distinct().count() > 1
@@ -181,7 +181,7 @@ def test_stream_stores_every_good_event_once(spark, sf_dir, ingested):
 def test_good_and_dead_are_all_there_is(spark, sf_dir, ingested):
     given = from_files(spark, delivery_files(spark, sf_dir))
     dead = read_dead_letters(spark, ingested.dead_letters)
-    assert read_events(spark, ingested.events).count() + dead.count() == given.count()
+    assert read_events(spark, ingested.events, status_stored=True).count() + dead.count() == given.count()
     decoded = decode_messages(given).filter("dead_reason IS NOT NULL")
     columns = ("body", "x_death", "redelivered", "source", "position")
     assert same(dead.select(*columns, "reason"), decoded.select(*columns, F.col("dead_reason").alias("reason")))
@@ -198,7 +198,7 @@ def test_replay_leaves_the_same_table(spark, ingested, replayed):
 
 def test_rollup_of_the_stream_is_the_rollup_of_the_table(spark, ingested):
     assert same(
-        merge_groups(read_rollup(spark, ingested.rollup)), group_events(read_events(spark, ingested.events))
+        merge_groups(read_rollup(spark, ingested.rollup)), group_events(read_events(spark, ingested.events, status_stored=True))
     )
 
 
@@ -206,7 +206,7 @@ def test_ledger_agrees_with_the_tables(spark, replayed):
     ledger = read_ledger(spark, replayed.ledger)
     totals = {r["outcome"]: r["events"] for r in ledger_totals(ledger).collect()}
     dead = {r["reason"]: r["count"] for r in read_dead_letters(spark, replayed.dead_letters).groupBy("reason").count().collect()}
-    assert totals["written"] == read_events(spark, replayed.events).count()
+    assert totals["written"] == read_events(spark, replayed.events, status_stored=True).count()
     assert {r: totals[r] for r in dead} == dead
     assert totals["read"] == totals["written"] + sum(dead.values())
     batches = ledger.count()
@@ -226,7 +226,7 @@ def test_arrival_time_survives_a_replay(spark, tmp_path):
     seen = []
 
     def lose(batch_id):
-        seen.append({(r["id"], r["actor"], r["created_at"]) for r in read_events(spark, tables.events).collect()})
+        seen.append({(r["id"], r["actor"], r["created_at"]) for r in read_events(spark, tables.events, status_stored=True).collect()})
         raise RuntimeError("lost")
 
     def run(after_batch):
@@ -238,7 +238,7 @@ def test_arrival_time_survives_a_replay(spark, tmp_path):
         run(lose)
     run(None)
     run(None)
-    stored = {(r["id"], r["actor"], r["created_at"]) for r in read_events(spark, tables.events).collect()}
+    stored = {(r["id"], r["actor"], r["created_at"]) for r in read_events(spark, tables.events, status_stored=True).collect()}
     assert [stored] == seen and {actor for _, actor, _ in stored} == {"u", "v"}
     assert read_dead_letters(spark, tables.dead_letters).count() == 1
 
@@ -270,7 +270,7 @@ def test_batch_documents_reach_the_table_once(spark, tmp_path):
     arrive("b", '{"events":[%s]}' % (event % "b1"), '{"events":[]}', "oops")
     ingest()
     ingest()
-    rows = read_events(spark, tables.events).collect()
+    rows = read_events(spark, tables.events, status_stored=True).collect()
     assert sorted(r["actor"] for r in rows) == ["a1", "a2", "b1"] and len({r["id"] for r in rows}) == 3
     given = read_envelopes(spark, f"{root}/in")
     assert sorted(r["reason"] for r in refused(given).collect()) == [

@@ -103,7 +103,12 @@ def admitted_events(events: DataFrame, batch: str, position: str, max_events: in
     refused = (
         batch_decisions(events, batch, position, max_events)
         .filter("reason IS NOT NULL")
-        .select(batch, F.explode(F.sequence(F.lit(0), F.lit(BATCH_SALTS - 1))).alias("_salt"))
+        .select(
+            F.col(batch).alias("_batch"),
+            F.explode(F.sequence(F.lit(0), F.lit(BATCH_SALTS - 1))).alias("_refused_salt"),
+        )
     )
     salted = events.withColumn("_salt", F.pmod(F.xxhash64(position), F.lit(BATCH_SALTS)).cast("int"))
-    return salted.join(refused, [batch, "_salt"], "left_anti").drop("_salt")
+    # events without a batch are a batch too, so null matches null
+    same = F.col(batch).eqNullSafe(F.col("_batch")) & (F.col("_salt") == F.col("_refused_salt"))
+    return salted.join(refused, same, "left_anti").drop("_salt")

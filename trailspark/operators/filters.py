@@ -83,8 +83,9 @@ class EventFilter:
 
 
 def _integer(value: str) -> int:
-    if re.fullmatch(r"[+-]?[0-9]+", value, flags=re.ASCII) and -(2**63) <= int(value) < 2**63:
-        return int(value)
+    number = re.fullmatch(r"([+-]?)0*([0-9]{1,19})", value, flags=re.ASCII)
+    if number and -(2**63) <= int(number[1] + number[2]) < 2**63:
+        return int(number[1] + number[2])
     return 0
 
 

@@ -116,7 +116,7 @@ def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, sf_dir, "events",
         lambda p: append_events(table_events(spark, sf_dir, minutes=True), p, "load"),
     )
-    return read_events(spark, path)
+    return read_events(spark, path, status_stored=True)
 
 
 def delivery_files(spark: SparkSession, sf_dir: str) -> str:
@@ -196,7 +196,7 @@ def compacted_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = scratch(spark, "landed")
     append_events(table_events(spark, sf_dir), source, "load")
     compact_days(spark, source, target, SINCE, UNTIL)
-    return plain_times(read_events(spark, target))
+    return plain_times(read_events(spark, target, status_stored=True))
 
 
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +216,7 @@ def schema_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in (old, events.filter("event_id % 2 = 1").drop("event_id")):
         part.write.mode("append").partitionBy("created_date", "batch").parquet(path)
     kept = filter_events(
-        read_events(spark, path, status_stored=False), EventFilter(exclude_services=["web-svc"], status_min=200)
+        read_events(spark, path), EventFilter(exclude_services=["web-svc"], status_min=200)
     )
     return plain_times(list_columns(kept))
 

@@ -7,6 +7,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from trailspark.schema import DELIVERY_SCHEMA
 from trailspark.sources.messages import COORDINATES
+from trailspark.sources.tables import read_or_empty
 
 
 def write_dead_letters(decoded: DataFrame, path: str, batch: str) -> None:
@@ -28,4 +29,4 @@ def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
     places = [StructField("source", StringType()), StructField("position", LongType())]
     partitions = [StructField("reason", StringType()), StructField("batch", StringType())]
     schema = StructType(DELIVERY_SCHEMA.fields + places + partitions)
-    return spark.read.schema(schema).parquet(path)
+    return read_or_empty(spark, schema, path)

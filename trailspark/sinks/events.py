@@ -54,7 +54,7 @@ def compact_days(
     The small files of the micro-batches become even ones. Every day `since` and `until`
     touch is rewritten whole.
     """
-    events = read_events(spark, source)
+    events = read_events(spark, source, status_stored=True)
     for bound in time_bounds(events.schema, since, until)[1::2]:  # the date bounds
         events = events.filter(bound)
     status = F.coalesce(STATUS_COLUMN, http_status())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from trailspark.operators.groups import bucket_histogram
+from trailspark.sources.tables import read_or_empty
 
 LEDGER_SCHEMA = (
     "query string, batch_id bigint, arrived_at timestamp, read bigint, written bigint, "
@@ -36,7 +37,7 @@ def write_ledger(
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{LEDGER_SCHEMA}, batch string").parquet(path).drop("batch")
+    return read_or_empty(spark, f"{LEDGER_SCHEMA}, batch string", path).drop("batch")
 
 
 def ledger_totals(ledger: DataFrame) -> DataFrame:
