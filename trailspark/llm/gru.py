@@ -25,14 +25,19 @@ FULL = 4096
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
+    """In place, by way of the hyperbolic tangent."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 def exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(e^logits, their sums by row); the bound keeps single precision from overflowing."""
-    np.clip(logits, -80, 80, out=logits)
-    e = np.exp(logits)
-    return e, e @ np.ones(e.shape[1], e.dtype)
+    """(e^logits, their sums by row), in place; the bound keeps single precision from overflowing."""
+    np.minimum(logits, 80, out=logits)
+    np.exp(logits, out=logits)
+    return logits, logits @ np.ones(logits.shape[1], logits.dtype)
 
 
 class Lanes:
@@ -65,10 +70,14 @@ class Lanes:
             self.carry[starts, lane] = 0
         self.steps = steps
 
-    def windows(self):
-        """(first step, end, lanes that have tokens there)."""
-        for start in range(0, self.steps, WINDOW):
-            yield start, min(start + WINDOW, self.steps), int((self.lengths > start).sum())
+    def windows(self, widest: int = WINDOW):
+        """(first step, end, lanes that have tokens there); wider, up to a bound, for fewer lanes."""
+        start = 0
+        while start < self.steps:
+            active = int((self.lengths > start).sum())
+            end = min(start + max(WINDOW, min(widest, WINDOW * LANES // active)), self.steps)
+            yield start, end, active
+            start = end
 
 
 class Model:
@@ -114,14 +123,22 @@ class Model:
         steps, lanes = x.shape
         out = np.empty((steps, lanes, HIDDEN), np.float32)
         past = []
+        given = table[x]
         for t in range(steps):
             h = h * carry[t, :, None]
-            a, g = table[x[t]], h @ weights
-            gates = sigmoid(a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
+            a, g = given[t], h @ weights
+            inner = g[:, 2 * HIDDEN :]
+            gates = a[:, : 2 * HIDDEN]
+            gates += g[:, : 2 * HIDDEN]
+            gates = sigmoid(gates)
             z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-            n = np.tanh(a[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
-            past.append((h, z, r, n, g[:, 2 * HIDDEN :]))
-            h = n + z * (h - n)
+            n = r * inner
+            n += a[:, 2 * HIDDEN :]
+            np.tanh(n, out=n)
+            past.append((h, z, r, n, inner))
+            h = h - n
+            h *= z
+            h += n
             out[t] = h
         return out, h, past
 
@@ -129,9 +146,10 @@ class Model:
         """Natural log probabilities of tokens, and the gradient of the states if asked for."""
         p, n = self.p, len(y)
         classes = y // CLASS_SIZE
-        logits = h @ p["class"] + p["class_bias"]
+        logits = h @ p["class"]
+        logits += p["class_bias"]
+        chosen = np.minimum(logits[np.arange(n), classes], 80)
         e, total = exponentials(logits)
-        chosen = logits[np.arange(n), classes]
         log_p = chosen - np.log(total)
         if grads is not None:
             e /= total[:, None]
@@ -146,9 +164,10 @@ class Model:
             if not len(rows):
                 continue
             hk, inner = h[rows], y[rows] % CLASS_SIZE
-            logits = hk @ p["word"][k].T + (p["word_bias"][k] + self.absent[k])
+            logits = hk @ p["word"][k].T
+            logits += p["word_bias"][k] + self.absent[k]
+            chosen = np.minimum(logits[np.arange(len(rows)), inner], 80)
             e, total = exponentials(logits)
-            chosen = logits[np.arange(len(rows)), inner]
             log_p[rows] += chosen - np.log(total)
             if grads is not None:
                 e /= total[:, None]
@@ -163,7 +182,7 @@ class Model:
         lanes = Lanes(texts, begin)
         scores = np.zeros((lanes.steps, len(lanes.held)), np.float32)
         h = np.zeros((len(lanes.held), HIDDEN), np.float32)
-        for a, b, active in lanes.windows():
+        for a, b, active in lanes.windows(widest=1024):
             out, last, _ = self._run(lanes.input[a:b, :active], lanes.carry[a:b, :active], h[:active])
             h[:active] = last
             y = lanes.target[a:b, :active]
