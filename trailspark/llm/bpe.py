@@ -30,7 +30,7 @@ from trailspark.llm.batches import map_rows
 LEAF_BYTES = 12
 LEAF_MEMO_BYTES = 16
 #: Encodings remembered per task: two generations of this many entries.
-MEMO_ENTRIES = 220_000
+MEMO_ENTRIES = 100_000
 MEMO_CHARS = 64
 
 _BEFORE_BLANK = re.compile(r" (?!\S)")
