@@ -18,7 +18,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from trailspark.llm import content, licenses, paragraphs, simhash, suffixes
-from trailspark.llm.bpe import ByteBpe, decode_ids, encode_texts, read_ranks
+from trailspark.llm.bpe import ByteBpe, decode_ids, encode_texts, read_ranks, round_trip
 from trailspark.llm.components import components
 from trailspark.llm.decontaminate import decontaminate
 from trailspark.llm.language_model import score_documents
@@ -71,6 +71,9 @@ def test_bpe_cases(docs, encoding):
     assert len(rows) == len(ROWS)
     for r in rows:
         assert list(r.ids) == encoding.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
+    both = round_trip(docs, ranks, public_tokenizers.PATTERN).select(*done.columns)
+    assert sorted(map(str, both.collect())) == sorted(map(str, done.collect()))
+    assert round_trip(docs.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
     assert encode_texts(docs.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
 
 

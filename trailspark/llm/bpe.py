@@ -5,7 +5,8 @@ halves that are encoded recursively, and two neighbours are joined by encoding a
 tokens around the seam anew. A sequence of tokens is the encoding of its bytes exactly when
 every two adjacent tokens stand side by side in the encoding of their own two byte strings,
 so the window is right as soon as its outer tokens pass that test against the tokens just
-outside; until then it grows. Pieces (the matches of the pre-tokenizer) never merge with each
+outside; until then it grows. The leaves of a batch's trees are merged together, one step of
+all leaves of a length at a time. Pieces (the matches of the pre-tokenizer) never merge with each
 other, so higher up the tree joining is concatenation; so is decoding at every height.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; texts and pieces of any
@@ -16,10 +17,12 @@ other columns are passed through.
 from __future__ import annotations
 
 import base64
+import gc
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from itertools import chain
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
@@ -86,8 +89,21 @@ class ByteBpe:
         self.tokens = [b""] * (max(self.ids.values()) + 1)
         for token, rank in self.ids.items():
             self.tokens[rank] = token
+        self.numbers = list(range(len(self.tokens)))
+        self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
+        pairs = sorted(
+            (self.ids[token[:k]] * len(self.tokens) + self.ids[token[k:]], rank)
+            for token, rank in self.ids.items()
+            for k in range(1, len(token))
+            if token[:k] in self.ids and token[k:] in self.ids
+        )
+        self.pair_keys = np.array([key for key, _ in pairs] + [np.iinfo(np.int64).max], np.int64)
+        self.pair_ids = np.array([rank for _, rank in pairs] + [len(self.tokens)], np.int32)
+        self.byte_pairs = self.pair_ranks(
+            np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256)
+        ).reshape(256, 256)
         self.pattern = regex.compile(pattern)
-        self.memo = Memo(lambda new: [self.encode_chunk(" " + chunk) for chunk in new])
+        self.memo = Memo(lambda new: self.encode_chunks([" " + chunk for chunk in new]))
         self.pieces: dict[str, list[int]] = {}
         self.leaves: dict[bytes, list[int]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
@@ -114,6 +130,55 @@ class ByteBpe:
                 ranks[at - 1] = ids.get(parts[at - 1] + parts[at], none)
         return [ids[p] for p in parts]
 
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the token that each two tokens make together; one past the last for none."""
+        keys = left.astype(np.int64) * len(self.tokens) + right
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[at] == keys, self.pair_ids[at], np.int32(len(self.tokens)))
+
+    def merge_all(self, strings: Iterable[bytes]) -> dict[bytes, list[int]]:
+        """`merge` of many strings, one step of all those of a length at a time."""
+        found: dict[bytes, list[int]] = {b"": []}
+        by_length: dict[int, list[bytes]] = {}
+        for data in strings:
+            whole = self.ids.get(data)
+            if whole is not None:
+                found[data] = [whole]
+            elif data:
+                by_length.setdefault(len(data), []).append(data)
+        none, shared = len(self.tokens), self.numbers.__getitem__
+        for length, group in by_length.items():
+            data = np.frombuffer(b"".join(group), np.uint8).reshape(-1, length)
+            tokens, ranks = self.byte_ids[data], self.byte_pairs[data[:, :-1], data[:, 1:]]
+            names = np.arange(len(group))
+            while len(names):
+                rows = np.arange(len(names))
+                if ranks.shape[1]:
+                    at = ranks.argmin(axis=1)
+                    best = ranks[rows, at]
+                    going = best < none
+                else:
+                    going = np.zeros(len(names), bool)
+                for name, row in zip(names[~going].tolist(), tokens[~going].tolist()):
+                    found[group[name]] = list(map(shared, row))
+                if not going.any():
+                    break
+                names, tokens, ranks, at, best = names[going], tokens[going], ranks[going], at[going], best[going]
+                rows = rows[: len(names)]
+                left = np.ones(tokens.shape, bool)
+                left[rows, at + 1] = False
+                tokens[rows, at] = best
+                tokens = tokens[left].reshape(len(names), -1)
+                left = left[:, 1:]
+                ranks = ranks[left].reshape(len(names), -1)
+                inner = at < ranks.shape[1]
+                r, a = rows[inner], at[inner]
+                ranks[r, a] = self.pair_ranks(tokens[r, a], tokens[r, a + 1])
+                inner = at > 0
+                r, a = rows[inner], at[inner]
+                ranks[r, a - 1] = self.pair_ranks(tokens[r, a - 1], tokens[r, a])
+        return found
+
     def leaf(self, data: bytes) -> list[int]:
         """`merge`, remembered: short strings of bytes recur in most words."""
         known = self.leaves.get(data)
@@ -151,32 +216,51 @@ class ByteBpe:
             i += i if grow_left else 0
             j += j if grow_right else 0
 
-    def encode_piece(self, data: bytes) -> list[int]:
+    def halves(self, data: bytes) -> list[bytes]:
+        """The leaves of the tree over a piece."""
         if len(data) <= LEAF_BYTES:
-            return self.leaf(data)
+            return [data]
         middle = len(data) // 2
-        return self.join(self.encode_piece(data[:middle]), self.encode_piece(data[middle:]))
-
-    def encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        ids: list[int] = []
-        for piece in self.pattern.findall(chunk):
-            known = self.pieces.get(piece)
-            if known is None:
-                known = self.encode_piece(piece.encode())
-                if len(self.pieces) > MEMO_ENTRIES:
-                    self.pieces.clear()
-                if len(piece) <= MEMO_CHARS:
-                    self.pieces[piece] = known
-            ids += known
-        return tuple(ids)
+        return self.halves(data[:middle]) + self.halves(data[middle:])
+
+    def encode_piece(self, data: bytes, leaves: dict[bytes, list[int]]) -> list[int]:
+        if len(data) <= LEAF_BYTES:
+            return leaves[data]
+        middle = len(data) // 2
+        return self.join(self.encode_piece(data[:middle], leaves), self.encode_piece(data[middle:], leaves))
+
+    def encode_chunks(self, texts: list[str]) -> list[tuple[int, ...]]:
+        """The ids of strings that no piece reaches beyond; their leaves are merged together."""
+        cut = list(map(self.pattern.findall, texts))
+        known = self.pieces
+        new = {piece: piece.encode() for piece in set(chain.from_iterable(cut)).difference(known)}
+        leaves = self.merge_all(set(chain.from_iterable(map(self.halves, new.values()))))
+        for piece, data in new.items():
+            known[piece] = self.encode_piece(data, leaves)
+        values = [tuple(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in cut]
+        if len(known) > MEMO_ENTRIES:
+            known.clear()
+        else:
+            for piece in new:
+                if len(piece) > MEMO_CHARS:
+                    del known[piece]
+        return values
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Nothing here makes cycles, so the collector would only walk the memo again and again."""
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_all(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_all(self, texts: list[str]) -> list[list[int]]:
         cut = [chunks(text) for text in texts]
+        heads = self.encode_chunks([first for first, *_ in cut])
         values = self.memo.look_up([rest for _, *rest in cut])
-        return [
-            [*self.encode_chunk(first), *chain.from_iterable(ids)]
-            for (first, *_), ids in zip(cut, values)
-        ]
+        return [[*head, *chain.from_iterable(ids)] for head, ids in zip(heads, values)]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
@@ -226,3 +310,21 @@ def decode_ids(encoded: DataFrame, ranks: bytes, pattern: str, ids: str = "ids")
 
     added = StructType([StructField("decoded", BinaryType(), False)])
     return map_rows(encoded, [c for c in encoded.columns if c != "decoded"], [ids], added, make)
+
+
+def round_trip(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
+    """Add `ids` and `decoded`: both directions in one pass, with one codec a task."""
+
+    def make():
+        codec = _codec(ranks, pattern)
+
+        def both(texts):
+            ids = codec.encode_all([t or "" for t in texts])
+            return [(x, codec.decode(x)) for x in ids]
+
+        return both
+
+    added = StructType(
+        [StructField("ids", ArrayType(IntegerType(), False), False), StructField("decoded", BinaryType(), False)]
+    )
+    return map_rows(docs, [c for c in docs.columns if c not in added.names], [text], added, make)

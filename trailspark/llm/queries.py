@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trailspark.llm.bpe import decode_ids, encode_texts, read_ranks
+from trailspark.llm.bpe import read_ranks, round_trip
 from trailspark.llm.content import extract_pages
 from trailspark.llm.decontaminate import decontaminate
 from trailspark.llm.language_model import score_documents
@@ -36,10 +36,8 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Encode, decode the ids, and keep digests of both."""
-    ranks = read_ranks(RANKS)
-    encoded = encode_texts(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN).drop("text")
-    decoded = decode_ids(encoded, ranks, public_tokenizers.PATTERN)
-    return decoded.select(
+    done = round_trip(docs.select("doc_id", "text"), read_ranks(RANKS), public_tokenizers.PATTERN)
+    return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
