@@ -1,0 +1,156 @@
+"""Payload digits and time zones: what must not depend on the engine or the session."""
+
+from __future__ import annotations
+
+import json
+from datetime import datetime, timezone
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from trailspark.operators.delivery import decode_messages
+from trailspark.operators.filters import EventFilter, filter_events
+from trailspark.operators.groups import group_events
+from trailspark.operators.listing import fetch_page, list_columns
+from trailspark.operators.render import encode_messages, event_json, group_json, page_json
+from trailspark.plans.audit_view import EXACT_NUMBERS, table_events
+from trailspark.plans.catalog import scratch
+from trailspark.sinks.events import append_events
+from trailspark.sources.envelopes import decode_envelopes, explode_events
+from trailspark.sources.events import read_events
+
+NUMBERS = [
+    "1.10", "1e400", "-0", "-0.0", "1E-7", "0.1234567890123456789012345678901234567890123", "9" * 50,
+    "-" + "8" * 40, "0", "7", "-7", "12345678901234567", "123456789012345678901", "2e2", "1.0e+10",
+]
+PAYLOADS = NUMBERS + [
+    '{"a":1.10,"b":"1.10","c":[1.50,-0,[2e2]],"d":{"e":1.0}}', '[1.10,"\\"1.10",1]', '"1.50"', '"a\\\\",', "true", "null",
+    '{"k\\"1.5":1.50}', '{"\\u0031.50":"\\u0031.50"}', "[]", "{}",
+]
+
+
+def messages(spark, payloads):
+    bodies = [('{"actor":"a","metadata":' + p + "}",) for p in payloads]
+    columns = "body string"
+    return spark.createDataFrame(bodies, columns).select(
+        "body",
+        F.lit(None).cast("array<struct<count:bigint>>").alias("x_death"),
+        F.lit(False).alias("redelivered"),
+    )
+
+
+def as_text(document: str):
+    """JSON with its numbers as they are written."""
+    return json.loads(document, parse_int=lambda t: ("n", t), parse_float=lambda t: ("n", t))
+
+
+def decoded(spark, payloads):
+    return {r["body"]: r for r in decode_messages(messages(spark, payloads)).collect()}
+
+
+@pytest.mark.parametrize("wrap", ["%s", '{"p":%s}', '[ %s ,"x", %s]', '{"p" : \n%s}'])
+def test_numbers_keep_their_digits(spark, wrap):
+    payloads = [wrap.replace("%s", p) for p in PAYLOADS if p != '"a\\\\",']
+    for body, row in decoded(spark, payloads).items():
+        assert row["dead_reason"] is None, body
+        wanted = as_text(body)["metadata"]
+        assert as_text(row["event"]["metadata"]) == wanted, body
+
+
+@pytest.mark.parametrize("payload", ["007", "1.", ".5", "+1", "1e", "0x1", "1.5.5", "--1", "NaN", '"a\\\\",', "01.5", "[1.5", "[1.5]]"])
+def test_bad_numbers_stay_refused(spark, payload):
+    row = decoded(spark, [payload]).popitem()[1]
+    assert row["dead_reason"] == "decode_error"
+
+
+@pytest.mark.parametrize("number", ["1.5", "1e400", "9" * 40, "5", "-0"])
+@pytest.mark.parametrize("field", ["actor", "id", "created_at"])
+def test_a_number_is_no_text(spark, field, number):
+    body = '{"%s":%s,"metadata":1.10}' % (field, number)
+    df = messages(spark, ["1"]).withColumn("body", F.lit(body))
+    assert decode_messages(df).first()["dead_reason"] == "decode_error"
+    envelope = spark.createDataFrame([('{"events":[%s]}' % body,)], "body string")
+    assert decode_envelopes(envelope).first()["decode_error"]
+
+
+def test_a_document_may_hold_the_tag_of_another(spark):
+    first = '{"actor":"a","metadata":1.10}'
+    tag = spark.range(1).select(F.substring(F.sha2(F.lit(first), 256), 1, 16)).first()[0]
+    other = json.dumps([f"{tag}1.10{tag}", tag]).replace(" ", "")
+    row = decoded(spark, [other[:-1] + ",1.10]"]).popitem()[1]
+    assert row["event"]["metadata"] == other[:-1] + ",1.10]"
+
+
+def test_long_documents(spark):
+    many = "[" + ",".join(f'"s{i}\\"",{i},{i}.50' for i in range(60_000)) + "]"
+    row = decoded(spark, [many]).popitem()[1]
+    assert row["dead_reason"] is None and row["event"]["metadata"] == many
+
+
+def test_numbers_through_envelopes_and_messages(spark):
+    events = ",".join('{"actor":"a","action":"x","target_type":"t","scope_type":"s","metadata":%s}' % p
+                      for p in NUMBERS)
+    envelope = spark.createDataFrame([('{"events":[%s]}' % events,)], "body string")
+    rows = explode_events(decode_envelopes(envelope))
+    assert [r["metadata"] for r in rows.orderBy("pos").collect()] == NUMBERS
+    for known in (False, True):
+        sent = encode_messages(rows.orderBy("pos"), known_json=known).collect()
+        assert [as_text(r["value"])["metadata"] for r in sent] == [("n", n) for n in NUMBERS]
+
+
+def test_rendering_puts_payloads_in_as_they_are(spark):
+    event = {c: "" for c in ("service", "actor", "action", "target_type", "target_id", "scope_type", "scope_id",
+                             "request_id", "client_ip")}
+    given = [EXACT_NUMBERS, '{"b":1,\r\n"a":{}}', "null", "not json", '{"a":1} x', "", None, '"}"']
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(given)], "n int, metadata string").withColumns(
+        {k: F.lit(v) for k, v in event.items()}
+        | {"before_state": F.lit(None).cast("string"), "after_state": F.lit(None).cast("string"),
+           "created_at": F.lit("2026-05-17 12:00:00.25Z").cast("timestamp")}
+    )
+    lines = [r["value"] for r in encode_messages(df.orderBy("n")).collect()]
+    assert all("\n" not in line and "\r" not in line for line in lines)
+    documents = [json.loads(line, parse_float=Decimal, parse_int=Decimal) for line in lines]
+    assert documents[0]["metadata"]["fine"] == Decimal("0.1234567890123456789012345678901234567890123")
+    assert documents[1]["metadata"] == {"b": 1, "a": {}}
+    assert documents[2]["metadata"] is None
+    assert ["metadata" in d for d in documents] == [True, True, True, False, False, False, False, True]
+    assert documents[7]["metadata"] == "}"
+    assert all(d["created_at"] == "2026-05-17T12:00:00.25Z" for d in documents)
+
+
+def test_results_do_not_follow_the_session_time_zone(spark, sf_dir):
+    day = (datetime(2024, 1, 13, tzinfo=timezone.utc), datetime(2024, 1, 13, 23, 59, 59, 999999, tzinfo=timezone.utc))
+    results = []
+    try:
+        given = table_events(spark, sf_dir).drop("event_id").select("*")
+        source = scratch(spark, "zones")
+        given.write.parquet(source)
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            path = scratch(spark, "zone")
+            append_events(spark.read.parquet(source), path, "b")
+            table = read_events(spark, path)
+            found = filter_events(table, EventFilter(since=day[0], until=day[1]))
+            lines = list_columns(table).select(event_json().alias("j")).collect()
+            groups = group_events(table).select(group_json().alias("j")).collect()
+            page = fetch_page(table, EventFilter(limit=5), newest=day[1])
+            shown = page_json(page.to_df(spark), page.next_cursor).first()["json"]
+            results.append((found.count(), sorted(r["j"] for r in lines), sorted(r["j"] for r in groups), shown))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert results[0][0] > 0
+    assert results[0] == results[1] == results[2]
+
+
+def test_second_pass_of_a_page_keeps_its_filter(spark, table):
+    seen = []
+    flt = EventFilter(request_id="req-77", limit=2)
+    whole = filter_events(table, flt).count()
+    page = fetch_page(table, flt)
+    while True:
+        seen += [r["id"] for r in page.events]
+        if page.next_cursor is None:
+            break
+        page = fetch_page(table, EventFilter(request_id="req-77", limit=2, cursor=page.next_cursor))
+    assert len(seen) == len(set(seen)) == whole

@@ -32,10 +32,32 @@ def rfc3339_to_timestamp(value: Column) -> Column:
     return F.when(value.rlike(r"\A" + _RFC3339 + r"\z"), value.try_cast("timestamp"))
 
 
+def utc_clock(value: Column) -> Column:
+    """The UTC time without a zone, whatever the time zone of the session.
+
+    Times without a zone are UTC already. The type is known when the query is planned, so one
+    branch stays.
+    """
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    shifted = F.timestamp_add("MICROSECOND", F.unix_micros(value.cast("timestamp")), epoch)
+    return F.when(F.typeof(value) == "timestamp_ntz", value.cast("timestamp_ntz")).otherwise(shifted)
+
+
+def utc_date(value: Column) -> Column:
+    return utc_clock(value).cast("date")
+
+
+def utc_hour_start(value: Column, kind: DataType) -> Column:
+    """The start of the hour, a time of the same type `kind`."""
+    if isinstance(kind, TimestampNTZType):
+        return F.timestamp_add("HOUR", F.hour(value), value.cast("date").cast("timestamp_ntz"))
+    micros = F.unix_micros(value)
+    return F.timestamp_micros(micros - F.pmod(micros, F.lit(3_600_000_000)))
+
+
 def timestamp_to_rfc3339(value: Column) -> Column:
     """UTC text with the trailing zeros of the fraction cut, as in `2026-05-17T12:00:00.25Z`."""
-    micros = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.concat(F.regexp_replace(micros, r"(\.0+|0+)\z", ""), F.lit("Z"))
+    return F.concat(F.translate(utc_clock(value).cast("string"), " ", "T"), F.lit("Z"))
 
 
 def as_utc(value: datetime) -> datetime:

@@ -3,7 +3,7 @@
 A document is parsed once, into a variant, and taken apart into one variant per field, so the
 kind of each value is still known: text fields must hold a string or null, payloads may hold
 anything. Keys match case-sensitively, the last of duplicate keys counts, unknown keys are
-ignored.
+ignored. Numbers in payloads keep their digits: `tag` is the `number_tag` of the document.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from trailspark.functions.numbers import is_tagged, tagged, untagged
 from trailspark.functions.payload import is_single_document
 from trailspark.functions.times import rfc3339_to_timestamp
 from trailspark.schema import EVENT_COLUMNS, PAYLOADS, TEXT
@@ -21,16 +22,21 @@ _TEXT_FIELDS = ("id",) + TEXT + ("created_at",)
 _EVENT = "struct<" + ", ".join(f"{c}: variant" for c in ("id",) + EVENT_COLUMNS) + ">"
 
 
-def parse_event(body: Column) -> Column:
+def _document(body: Column, tag: Column) -> Column:
+    """The variant of one JSON value; the text as it came decides whether it is JSON."""
+    plain = F.try_parse_json(body)
+    exact = F.when(tag.isNull(), plain).when(plain.isNotNull(), F.try_parse_json(tagged(body, tag)))
+    return F.when(is_single_document(body), exact)
+
+
+def parse_event(body: Column, tag: Column) -> Column:
     """Struct of variants; NULL where the text is not one JSON object."""
-    return F.when(is_single_document(body), as_event(F.try_parse_json(body)))
+    return as_event(_document(body, tag))
 
 
-def parse_envelope(body: Column) -> Column:
+def parse_envelope(body: Column, tag: Column) -> Column:
     """Struct of the variant `events`; NULL where the text is not one JSON object."""
-    return F.when(
-        is_single_document(body), F.try_variant_get(F.try_parse_json(body), "$", "struct<events: variant>")
-    )
+    return F.try_variant_get(_document(body, tag), "$", "struct<events: variant>")
 
 
 def elements(events: Column) -> Column:
@@ -53,17 +59,18 @@ def event_time(event: Column) -> Column:
     return rfc3339_to_timestamp(_string(event["created_at"]))
 
 
-def has_wrong_type(event: Column, time: Column) -> Column:
+def has_wrong_type(event: Column, time: Column, tag: Column) -> Column:
     """True when a text field holds something else or a given time is not one."""
     kinds = {c: F.coalesce(F.schema_of_variant(event[c]), F.lit("VOID")) for c in _TEXT_FIELDS}
     wrong = [~kind.isin("STRING", "VOID") for kind in kinds.values()]
+    wrong += [is_tagged(_string(event[c]), tag) for c in _TEXT_FIELDS]
     return reduce(lambda a, b: a | b, wrong) | ((kinds["created_at"] != "VOID") & time.isNull())
 
 
-def event_struct(event: Column, time: Column) -> Column:
+def event_struct(event: Column, time: Column, tag: Column) -> Column:
     """The typed event; payloads as JSON text."""
     typed = {c: _string(event[c]) for c in TEXT}
-    typed |= {c: F.to_json(event[c]) for c in PAYLOADS}
+    typed |= {c: untagged(F.to_json(event[c]), tag) for c in PAYLOADS}
     typed["created_at"] = time
     return F.struct(*(typed[c].alias(c) for c in EVENT_COLUMNS))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trailspark.functions.numbers import number_tag
 from trailspark.functions.once import compute_once
 from trailspark.operators.decode import event_struct, event_time, has_wrong_type, parse_event
 
@@ -35,10 +36,12 @@ def decode_messages(deliveries: DataFrame, max_redeliveries: int = DEFAULT_MAX_R
     Redeliveries are judged before the body is looked at. A good event is not validated
     again: it was when it was let in.
     """
-    parsed, time = F.col("_parsed"), F.col("_time")
-    read = deliveries.withColumn("_parsed", parse_event(F.col("body"))).withColumn("_time", event_time(parsed))
-    undecodable = parsed.isNull() | has_wrong_type(parsed, time)
+    body, tag, parsed, time = F.col("body"), F.col("_tag"), F.col("_parsed"), F.col("_time")
+    tags = deliveries.withColumn("_tag", number_tag(body))
+    read = tags.withColumn("_parsed", parse_event(body, tag)).withColumn("_time", event_time(parsed))
+    undecodable = parsed.isNull() | has_wrong_type(parsed, time, tag)
     reason = F.when(is_poison(max_redeliveries), F.lit(MAX_REDELIVERIES)).when(
         undecodable, F.lit(DECODE_ERROR)
     )
-    return compute_once(read, dead_reason=reason, event=event_struct(parsed, time)).drop("_parsed", "_time")
+    decoded = compute_once(read, dead_reason=reason, event=event_struct(parsed, time, tag))
+    return decoded.drop("_tag", "_parsed", "_time")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from trailspark.functions.category import DEFAULT_RULES, CategoryRules, category_column
 from trailspark.functions.status import is_failure, is_success, status_column
+from trailspark.functions.times import utc_date, utc_hour_start
 from trailspark.operators.filters import EventFilter, filter_events
 from trailspark.operators.listing import page_size
 from trailspark.operators.windows import in_window, newest_first
@@ -27,7 +28,7 @@ def group_events(
     matching = filter_events(events, flt, with_cursor=False, rules=rules)
     kind = events.schema["created_at"].dataType
     keyed = matching.select(
-        F.date_trunc("hour", "created_at").cast(kind).alias("bucket_start"),
+        utc_hour_start(F.col("created_at"), kind).alias("bucket_start"),
         category_column(rules=rules).alias("category"),
         *(text(c) for c in GROUP_KEYS[2:]),
         status_column(events.schema).alias("status"),
@@ -93,7 +94,7 @@ def write_rollup(groups: DataFrame, path: str, batch: str) -> None:
     Rebalancing by day gives each day few files of even size, however uneven the days.
     """
     (
-        groups.withColumn("bucket_date", F.to_date("bucket_start"))
+        groups.withColumn("bucket_date", utc_date(F.col("bucket_start")))
         .withColumn("batch", F.lit(batch))
         .hint("rebalance", "bucket_date")
         .write.mode("overwrite")

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from trailspark.functions.category import DEFAULT_RULES, CategoryRules, category_column
 from trailspark.functions.cursor import encode_cursor, from_micros
-from trailspark.operators.filters import EventFilter, filter_events, time_bounds
+from trailspark.functions.times import time_literal
+from trailspark.operators.filters import EventFilter, filter_events
 from trailspark.operators.windows import in_window, newest_first
 from trailspark.schema import LIST_COLUMNS, TEXT, text
 
@@ -74,7 +75,8 @@ def fetch_page(
     """One page of the list.
 
     First the keys of the page, from the filter columns alone and from the newest windows
-    alone; then the full rows of those keys (101 at most), which lie in a narrow time range.
+    alone; then the full rows of those keys (101 at most), read from their days and times only
+    and under the same filter.
     """
     flt = flt or EventFilter()
     size = page_size(flt.limit)
@@ -92,13 +94,21 @@ def fetch_page(
 
     more, keys = len(keys) > size, keys[:size]
     last = from_micros(keys[-1]["micros"])
-    chosen = events.filter(F.col("id").isin([k["id"] for k in keys]))
-    for bound in time_bounds(events.schema, last, from_micros(keys[0]["micros"])):
-        chosen = chosen.filter(bound)
+    chosen = matching.filter(F.col("id").isin([k["id"] for k in keys]) & _at_times(events.schema, keys))
     rows = list_columns(chosen, rules).orderBy(*_newest_first()).limit(size).collect()
     return Page(rows, encode_cursor(last, keys[-1]["id"]) if more else None, schema)
 
 
+def _at_times(schema: StructType, keys: list[Row]) -> Column:
+    """Rows at the very times of the keys, and in their days: files are sorted by time."""
+    times = sorted({from_micros(k["micros"]) for k in keys})
+    kind = schema["created_at"].dataType
+    found = F.col("created_at").isin([time_literal(t, kind) for t in times])
+    if "created_date" in schema.names:
+        found &= F.col("created_date").isin(sorted({t.date() for t in times}))
+    return found
+
+
 def walk_pages(
     events: DataFrame, flt: EventFilter | None = None, *, newest: datetime | None = None,
     rules: CategoryRules = DEFAULT_RULES,

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+from itertools import groupby
 
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from trailspark.functions.payload import is_strict_json
 from trailspark.functions.times import timestamp_to_rfc3339
+from trailspark.operators.listing import LARGEST_PAGE
 from trailspark.schema import EVENT_COLUMNS, GROUP_KEYS, GROUP_MEASURES, LIST_COLUMNS, PAYLOADS
 
 # The JSON fields left out when empty.
@@ -13,35 +18,52 @@ OMITTED_WHEN_EMPTY = ("service", "category", "request_id", "client_ip")
 _TIMES = ("created_at", "bucket_start", "first_seen", "last_seen")
 
 
-def _json(columns: tuple[str, ...], omitted: tuple[str, ...]) -> Column:
+def _json(columns: tuple[str, ...], omitted: tuple[str, ...], payloads: Callable[[str], Column]) -> Column:
+    """One JSON object; payloads are put in as the text they are, so no digit of them changes."""
+
     def value(name: str) -> Column:
-        if name in PAYLOADS:
-            return F.try_parse_json(F.col(name))
         if name in _TIMES:
             return timestamp_to_rfc3339(F.col(name))
         return F.nullif(F.col(name), F.lit("")) if name in omitted else F.col(name)
 
-    return F.to_json(F.struct(*(value(c).alias(c) for c in columns)))
+    members = []
+    for opaque, run in groupby(columns, lambda c: c in PAYLOADS):
+        if opaque:
+            members += [F.concat(F.lit(f'"{c}":'), payloads(c)) for c in run]
+        else:
+            body = F.to_json(F.struct(*(value(c).alias(c) for c in run)))
+            members.append(F.nullif(F.btrim(body, F.lit("{}")), F.lit("")))
+    return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+
+
+def _one_line(payload: str) -> Column:
+    """JSON has line breaks between its tokens only."""
+    return F.translate(F.col(payload), "\r\n", "  ")
+
+
+def _checked(payload: str) -> Column:
+    """A payload that is not JSON is left out."""
+    return F.when(is_strict_json(payload), _one_line(payload))
 
 
 def event_json() -> Column:
     """A listed event as JSON."""
-    return _json(LIST_COLUMNS, OMITTED_WHEN_EMPTY)
+    return _json(LIST_COLUMNS, OMITTED_WHEN_EMPTY, _checked)
 
 
 def group_json() -> Column:
     """A group as JSON; only the service is left out when empty."""
-    return _json(GROUP_KEYS + GROUP_MEASURES, ("service",))
+    return _json(GROUP_KEYS + GROUP_MEASURES, ("service",), _checked)
 
 
-def message_json() -> Column:
-    """An event as the body of a queue message."""
-    return _json(EVENT_COLUMNS, OMITTED_WHEN_EMPTY)
+def message_json(*, known_json: bool = False) -> Column:
+    """An event as the body of a queue message; say `known_json` for payloads just decoded."""
+    return _json(EVENT_COLUMNS, OMITTED_WHEN_EMPTY, _one_line if known_json else _checked)
 
 
-def encode_messages(events: DataFrame) -> DataFrame:
+def encode_messages(events: DataFrame, *, known_json: bool = False) -> DataFrame:
     """Events to queue messages: one `value` per event, the column name of the sinks."""
-    return events.select(message_json().alias("value"))
+    return events.select(message_json(known_json=known_json).alias("value"))
 
 
 def page_json(events: DataFrame, next_cursor: str | None) -> DataFrame:
@@ -57,8 +79,10 @@ def groups_json(groups: DataFrame) -> DataFrame:
 
 
 def _document(rows: DataFrame, name: str, body: Column, order: list[Column], cursor: str | None) -> DataFrame:
-    ordinal = F.monotonically_increasing_id()
-    listed = rows.orderBy(*order).select(ordinal.alias("n"), body.alias("body")).agg(
+    """The first rows in order, a page at most, collected in that order."""
+    n = F.row_number().over(Window.orderBy(*order))
+    page = rows.orderBy(*order).limit(LARGEST_PAGE)
+    listed = page.select(n.alias("n"), body.alias("body")).agg(
         F.array_join(
             F.transform(F.sort_array(F.collect_list(F.struct("n", "body"))), lambda e: e["body"]), ","
         ).alias("items")

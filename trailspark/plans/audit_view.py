@@ -11,6 +11,12 @@ from trailspark.functions.once import compute_once
 from trailspark.operators.render import message_json
 from trailspark.schema import STORED_COLUMNS
 
+#: A payload whose numbers no number type of the engine holds as they are written.
+EXACT_NUMBERS = (
+    '{"big":12345678901234567890123456789012345678901234567890,"far":1e400,'
+    '"fine":0.1234567890123456789012345678901234567890123,"list":[-0,1.50,7],"text":"1.10"}'
+)
+
 
 def _matched(column: Column, cases: dict[str, Column | str], otherwise: Column | str) -> Column:
     chain = F
@@ -46,7 +52,7 @@ def audit_events(spark: SparkSession, sf_dir: str, minutes: bool = False) -> Dat
         "target_id": F.concat(lit("t-"), text(user % 3)),
         "scope_type": F.when(user % 5 == 0, "platform").otherwise("tenant"),
         "scope_id": F.when(user % 5 == 0, "").otherwise(F.concat(lit("tenant-"), text(user % 2))),
-        "before_state": lit(None).cast("string"),
+        "before_state": F.when(number % 8 == 1, EXACT_NUMBERS),
         "after_state": F.when(
             kind == "purchase",
             F.concat(lit('{"cents":'), text(F.round(F.col("value") * 100).cast("bigint")), lit("}")),

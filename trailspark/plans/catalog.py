@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import TimestampType
@@ -46,11 +47,12 @@ from trailspark.sinks.dead_letters import read_dead_letters, write_dead_letters
 from trailspark.sinks.events import append_events, compact_days
 from trailspark.sinks.ledger import batch_size_histogram, ledger_totals, read_ledger
 from trailspark.sinks.messages import write_messages
+from trailspark.sinks.refusals import publish_totals, read_publish_ledger, read_refusals
 from trailspark.sources.envelopes import decode_envelopes, explode_events, read_envelopes, stream_envelopes
 from trailspark.sources.events import read_events, read_rollup
 from trailspark.sources.messages import COORDINATES, from_files, from_text, stream_files
 from trailspark.streaming.ingest import IngestTables, start_ingest
-from trailspark.streaming.publish import refused, start_publish
+from trailspark.streaming.publish import PublishTables, refused, start_accounts, start_publish
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,12 +81,22 @@ FILTERS: dict[str, EventFilter] = {
     "f_status_min": EventFilter(status_min=400),
     "f_status_max": EventFilter(status_max=199),
     "f_cursor": EventFilter(cursor=encode_cursor(*CURSOR)),
+    "f_bad_cursor": EventFilter(cursor="bm90IGEgY3Vyc29y", service="gateway"),
+    "f_params": EventFilter.from_params(
+        {
+            "scope_type": [" tenant", "platform"], "status_min": ["400"], "status_max": ["9" * 5000],
+            "exclude_service": ["gateway"], "exclude_service[]": ["orders-svc, "], "exclude_services": ["x"],
+            "since": ["2024-01-05T08:00:00+02:00"], "until": ["tomorrow"], "limit": ["ten"], "cursor": ["?"],
+        }
+    ),
     "f_combined": EventFilter(
         scope_type="tenant", actor="user-0", exclude_services=["orders-svc"], status_min=200, status_max=499,
         since=SINCE, until=UNTIL, cursor=encode_cursor(*CURSOR),
     ),
 }
 PAGED = EventFilter(category="security_change", limit=100)
+PAGE_LIMITS = (-1, 0, 1, 100, 101)
+BATCH_CUTS = (4, 40, 120, 400, 900)
 
 
 def plain_times(df: DataFrame) -> DataFrame:
@@ -138,7 +150,10 @@ def envelope_files(spark: SparkSession, sf_dir: str) -> str:
           for c in EVENT_COLUMNS if c not in PAYLOADS),
         F.when(~broken, F.try_parse_json("metadata")).alias("metadata"),
     )
-    text = F.when(number % 97 == 0, "null").otherwise(F.to_json(event))
+    # the payload with long numbers goes in as text
+    given = F.regexp_replace(F.to_json(event), r"\}\z", "")
+    whole = F.concat(F.concat_ws(',"before_state":', given, "before_state"), F.lit("}"))
+    text = F.when(number % 97 == 0, "null").otherwise(whole)
     batch = F.expr("event_id div 25")
 
     def write(path: str) -> None:
@@ -325,6 +340,24 @@ def page_after_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_times(fetch_page(events, after).to_df(spark))
 
 
+def page_by_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of a rare lookup, whose events lie far apart."""
+    events = event_table(spark, sf_dir)
+    first = fetch_page(events, EventFilter(request_id="req-77", limit=2))
+    after = EventFilter(request_id="req-77", limit=2, cursor=first.next_cursor or "")
+    return plain_times(fetch_page(events, after).to_df(spark))
+
+
+def page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages for limits in and out of range, each with the row that says more follow."""
+    events = audit_events(spark, sf_dir, minutes=True)
+    pages = [
+        list_events(events, EventFilter(limit=limit)).select(F.lit(limit).alias("asked"), "id", "created_at")
+        for limit in PAGE_LIMITS
+    ]
+    return reduce(DataFrame.unionAll, pages)
+
+
 def cursor_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = audit_events(spark, sf_dir).select("id", cursor_column().alias("cursor"))
     return plain_times(
@@ -367,33 +400,44 @@ class _Lost(RuntimeError):
     pass
 
 
-def run_ingest(spark: SparkSession, sf_dir: str, fail_after: int | None = None) -> IngestTables:
-    """Stream all deliveries in two micro-batches.
+def _replayed(run: Callable[[Callable[[int], None] | None], None], fail_after: int) -> None:
+    """Run a stream that stops between the writes of a batch and its commit, and once more."""
+
+    def lose(batch_id: int) -> None:
+        if batch_id == fail_after:
+            raise _Lost(f"batch {batch_id}")
+
+    try:
+        run(lose)
+    except Exception as error:
+        if _Lost.__name__ not in str(error):
+            raise
+    run(None)
+
+
+def run_ingest(
+    spark: SparkSession, sf_dir: str, fail_after: int | None = None,
+    *, source: str | None = None, files: int | None = None,
+) -> IngestTables:
+    """Stream all deliveries, in two micro-batches unless the files of one are given.
 
     With `fail_after` the stream stops once between the writes of that batch and its commit
     and is started again.
     """
     root = scratch(spark, "ingest")
     tables = IngestTables(f"{root}/events", f"{root}/dead", f"{root}/ledger", f"{root}/rollup")
-    source = delivery_files(spark, sf_dir)
-    files = max(1, len(spark.read.parquet(source).inputFiles()) // 2)
-
-    def lose(batch_id: int) -> None:
-        if batch_id == fail_after:
-            raise _Lost(f"batch {batch_id}")
+    source = source or delivery_files(spark, sf_dir)
+    files = files or max(1, len(spark.read.parquet(source).inputFiles()) // 2)
 
     def run(after_batch: Callable[[int], None] | None) -> None:
         stream = stream_files(spark, source, max_files_per_trigger=files)
         query = start_ingest(stream, tables, f"{root}/checkpoint", available_now=True, after_batch=after_batch)
         query.awaitTermination()
 
-    if fail_after is not None:
-        try:
-            run(lose)
-        except Exception as error:
-            if _Lost.__name__ not in str(error):
-                raise
-    run(None)
+    if fail_after is None:
+        run(None)
+    else:
+        _replayed(run, fail_after)
     return tables
 
 
@@ -431,7 +475,45 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch_size_histogram(read_ledger(spark, run_ingest(spark, sf_dir).ledger))
+    """Sizes of micro-batches of one file each, the deliveries cut into files by their number."""
+    number = F.col("event_id")
+    cut = F.lit(len(BATCH_CUTS)) + number % 3
+    for place, end in reversed(list(enumerate(BATCH_CUTS))):
+        cut = F.when(number < end, place).otherwise(cut)
+    source = scratch(spark, "cut")
+    cuts = deliveries(spark, sf_dir).withColumn("cut", cut).repartition("cut")
+    cuts.write.partitionBy("cut").parquet(source)
+    tables = run_ingest(spark, sf_dir, source=source, files=1)
+    return batch_size_histogram(read_ledger(spark, tables.ledger))
+
+
+def run_accounts(spark: SparkSession, sf_dir: str) -> PublishTables:
+    """Account for all batch documents in two micro-batches, the first of which is replayed."""
+    root = scratch(spark, "accounts")
+    tables = PublishTables(f"{root}/refused", f"{root}/ledger")
+    source = envelope_files(spark, sf_dir)
+    files = max(1, len(spark.read.text(source).inputFiles()) // 2)
+
+    def run(after_batch: Callable[[int], None] | None) -> None:
+        stream = stream_envelopes(spark, source, max_files_per_trigger=files)
+        start_accounts(
+            stream, tables, f"{root}/checkpoint", available_now=True, after_batch=after_batch
+        ).awaitTermination()
+
+    _replayed(run, 0)
+    return tables
+
+
+def publish_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The refused documents set aside, by reason; bodies are those of the documents."""
+    aside = read_refusals(spark, run_accounts(spark, sf_dir).refused)
+    given = read_envelopes(spark, envelope_files(spark, sf_dir)).select("body").distinct()
+    known = aside.join(given, "body", "left_semi")
+    return known.groupBy("reason", "n_events").agg(F.count("*").alias("n"))
+
+
+def publish_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return publish_totals(read_publish_ledger(spark, run_accounts(spark, sf_dir).ledger))
 
 
 QUERIES: dict[str, Query] = {
@@ -461,6 +543,8 @@ QUERIES: dict[str, Query] = {
     "event_list": event_list,
     "event_page": event_page,
     "page_after_cursor": page_after_cursor,
+    "page_by_request": page_by_request,
+    "page_sizes": page_sizes,
     "cursor_codec": cursor_codec,
     "export_trail": exported_trail,
     "event_groups": event_groups,
@@ -475,6 +559,8 @@ QUERIES: dict[str, Query] = {
     "stream_rollup": stream_rollup,
     "ledger": ledger,
     "batch_sizes": batch_sizes,
+    "publish_refused": publish_refused,
+    "publish_ledger": publish_ledger,
 }
 
 

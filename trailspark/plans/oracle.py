@@ -32,7 +32,9 @@ raw AS (
     't-' || CAST(user_id % 3 AS VARCHAR) AS target_id,
     CASE WHEN user_id % 5 = 0 THEN 'platform' ELSE 'tenant' END AS scope_type,
     CASE WHEN user_id % 5 = 0 THEN '' ELSE 'tenant-' || CAST(user_id % 2 AS VARCHAR) END AS scope_id,
-    CAST(NULL AS VARCHAR) AS before_state,
+    CASE WHEN event_id % 8 = 1 THEN '{"big":12345678901234567890123456789012345678901234567890,"far":1e400,'
+      || '"fine":0.1234567890123456789012345678901234567890123,"list":[-0,1.50,7],"text":"1.10"}'
+      END AS before_state,
     CASE WHEN event_type = 'purchase'
       THEN '{"cents":' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) || '}' END AS after_state,
     CASE WHEN k >= 98 THEN NULL WHEN k >= 95 THEN '{}' WHEN k >= 90 THEN '{"http_status":"n/a"}'
@@ -188,8 +190,7 @@ sent AS (
 ENVELOPES = """
 listed AS (
   SELECT event_id // 25 AS batch, event_id % 25 AS pos, event_id % 97 = 0 AS is_null, service, actor, action,
-    target_type, target_id, scope_type, scope_id, CAST(NULL AS VARCHAR) AS before_state,
-    CAST(NULL AS VARCHAR) AS after_state,
+    target_type, target_id, scope_type, scope_id, before_state, CAST(NULL AS VARCHAR) AS after_state,
     CASE WHEN event_id % 41 <> 0 AND (event_id % 59 = 0 OR event_id % 61 = 0) THEN NULL
       WHEN event_id % 41 = 0 THEN NULL ELSE metadata END AS metadata,
     request_id, client_ip, created_at,
@@ -287,6 +288,11 @@ SELECT event_id, h[1:8] || '-' || h[9:12] || '-8' || h[14:16] || '-8' || h[18:20
     "f_status_min": _listed("status >= 400"),
     "f_status_max": _listed("status <= 199"),
     "f_cursor": _listed(CURSOR_SQL),
+    "f_bad_cursor": _listed("service = 'gateway'"),
+    "f_params": _listed(
+        "scope_type = 'tenant' AND status >= 400 AND service NOT IN ('gateway', 'orders-svc', 'x') "
+        "AND created_at >= TIMESTAMP '2024-01-05 06:00:00'"
+    ),
     "f_combined": _listed(
         "scope_type = 'tenant' AND actor = 'user-0' AND service <> 'orders-svc' AND status BETWEEN 200 AND 499 "
         f"AND {TIME_SQL} AND {CURSOR_SQL}"
@@ -332,6 +338,15 @@ SELECT {LIST}, CASE WHEN more THEN (
         "ORDER BY created_at DESC, id DESC LIMIT 100 OFFSET 100",
         "minutes",
     ),
+    "page_by_request": _trail(
+        f"SELECT {LIST} FROM trail WHERE request_id = 'req-77' ORDER BY created_at DESC, id DESC LIMIT 2 OFFSET 2",
+        "minutes",
+    ),
+    "page_sizes": _audit(
+        """SELECT asked, id, created_at FROM (
+  SELECT id, created_at, row_number() OVER (ORDER BY created_at DESC, id DESC) AS n FROM minutes
+), (VALUES (-1, 50), (0, 50), (1, 1), (100, 100), (101, 50)) AS limits(asked, size) WHERE n <= size + 1"""
+    ),
     "cursor_codec": _audit(
         "SELECT id, translate(base64(encode(epoch_us(created_at) || '|' || id)), '+/', '-_') AS cursor, "
         "created_at AS decoded_time, id AS decoded_id FROM audit"
@@ -376,6 +391,36 @@ FROM others GROUP BY ALL""",
     "stream_ingest": _audit(f"SELECT {EVENT} FROM good", DELIVERED),
     "replay_idempotent": _audit(f"SELECT {EVENT} FROM good", DELIVERED),
     "stream_rollup": _trail(f", {_grouped()}\nSELECT {GROUP_COLUMNS} FROM grouped", "good", DELIVERED),
+    "batch_sizes": _audit(
+        """, cuts AS (
+  SELECT COUNT(*) AS written FROM good GROUP BY CASE WHEN event_id < 4 THEN -5 WHEN event_id < 40 THEN -4
+    WHEN event_id < 120 THEN -3 WHEN event_id < 400 THEN -2 WHEN event_id < 900 THEN -1 ELSE event_id % 3 END
+), bounds AS (
+  SELECT * FROM (VALUES ('1', 1), ('5', 5), ('10', 10), ('25', 25), ('50', 50), ('100', 100), ('200', 200),
+    ('500', 500), ('+Inf', 9223372036854775807)) AS b(le, upper)
+)
+SELECT le, (SELECT COUNT(*) FROM cuts WHERE written <= upper) AS bucket_count,
+  (SELECT COUNT(*) FROM cuts) AS value_count, (SELECT CAST(SUM(written) AS BIGINT) FROM cuts) AS value_sum
+FROM bounds""",
+        DELIVERED,
+    ),
+    "publish_refused": _audit(
+        """SELECT reason, n_events, COUNT(*) AS n
+FROM judged WHERE reason IS NOT NULL GROUP BY ALL
+UNION ALL SELECT CASE WHEN batch % 20 = 7 THEN 'decode_error' ELSE 'events required' END, 0, COUNT(*)
+FROM others GROUP BY ALL""",
+        INTAKE, ENVELOPES,
+    ),
+    "publish_ledger": _audit(
+        """SELECT 'documents' AS outcome, (SELECT COUNT(*) FROM judged) + (SELECT COUNT(*) FROM others) AS n
+UNION ALL SELECT 'published_documents', COUNT(*) FROM judged WHERE reason IS NULL
+UNION ALL SELECT 'refused_documents', (SELECT COUNT(*) FROM judged WHERE reason IS NOT NULL)
+  + (SELECT COUNT(*) FROM others WHERE batch % 20 = 3)
+UNION ALL SELECT 'undecodable_documents', COUNT(*) FROM others WHERE batch % 20 = 7
+UNION ALL SELECT 'published_events', CAST(coalesce(SUM(n_events), 0) AS BIGINT) FROM judged WHERE reason IS NULL
+UNION ALL SELECT 'refused_events', CAST(coalesce(SUM(n_events), 0) AS BIGINT) FROM judged WHERE reason IS NOT NULL""",
+        INTAKE, ENVELOPES,
+    ),
     "ledger": _audit(
         """SELECT 'read' AS outcome, COUNT(*) AS events FROM judged
 UNION ALL SELECT 'written', COUNT(*) FROM good

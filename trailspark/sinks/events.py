@@ -14,7 +14,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailspark.functions.status import http_status
-from trailspark.operators.filters import time_bounds
+from trailspark.functions.times import as_utc, utc_clock, utc_date
 from trailspark.schema import PARTITION_COLUMNS, STATUS_COLUMN, STORED_COLUMNS, stored
 from trailspark.sources.events import read_events
 
@@ -34,7 +34,7 @@ def append_events(events: DataFrame, path: str, batch: str, *, bulk: bool = Fals
     holds. Say `bulk` for a large load whose tasks hold many days: it is laid out like
     compacted days.
     """
-    physical = {STATUS_COLUMN: http_status(), "created_date": F.to_date("created_at"), "batch": F.lit(batch)}
+    physical = {STATUS_COLUMN: http_status(), "created_date": utc_date(F.col("created_at")), "batch": F.lit(batch)}
     rows = stored(events).withColumns(physical)
     if bulk:
         _write(_spread(rows), path, BLOOM_FILTERS)
@@ -55,8 +55,10 @@ def compact_days(
     touch is rewritten whole.
     """
     events = read_events(spark, source, status_stored=True)
-    for bound in time_bounds(events.schema, since, until)[1::2]:  # the date bounds
-        events = events.filter(bound)
+    if since is not None:
+        events = events.filter(F.col("created_date") >= F.lit(as_utc(since).date()))
+    if until is not None:
+        events = events.filter(F.col("created_date") <= F.lit(as_utc(until).date()))
     status = F.coalesce(STATUS_COLUMN, http_status())
     _write(_spread(events.withColumns({"batch": F.lit(COMPACTED), STATUS_COLUMN: status})), target, BLOOM_FILTERS)
 
@@ -68,7 +70,7 @@ def _spread(events: DataFrame) -> DataFrame:
     the sizes seen in the shuffle; it needs no sampling pass over the rows.
     """
     return (
-        events.withColumn("_hour", F.hour("created_at"))
+        events.withColumn("_hour", F.hour(utc_clock(F.col("created_at"))))
         .hint("rebalance", "created_date", "_hour")
         .select(*STORED_COLUMNS, STATUS_COLUMN, *PARTITION_COLUMNS)
     )

@@ -1,0 +1,67 @@
+"""Batch documents nothing was taken from, and the counts of the publishing side."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from trailspark.operators.delivery import DECODE_ERROR
+from trailspark.sources.tables import read_or_empty
+
+REFUSED_SCHEMA = "body string, source_file string, n_events bigint, reason string, batch string"
+PUBLISH_LEDGER_SCHEMA = (
+    "query string, batch_id bigint, documents bigint, published_documents bigint, "
+    "refused_documents bigint, undecodable_documents bigint, published_events bigint, "
+    "refused_events bigint, batch string"
+)
+_OUTCOMES = (
+    "documents", "published_documents", "refused_documents", "undecodable_documents",
+    "published_events", "refused_events",
+)
+
+
+def write_refusals(judged: DataFrame, path: str, batch: str) -> None:
+    """Write the documents that have a `reason`, replacing the batch if it is there."""
+    refused = judged.filter("reason IS NOT NULL").select("body", "source_file", "n_events", "reason")
+    _replace(refused.withColumn("batch", F.lit(batch)), path)
+
+
+def read_refusals(spark: SparkSession, path: str) -> DataFrame:
+    return read_or_empty(spark, REFUSED_SCHEMA, path)
+
+
+def write_publish_ledger(judged: DataFrame, path: str, batch: str, *, query: str, batch_id: int) -> None:
+    """One row for the batch; a document is published, refused for a reason, or undecodable.
+
+    Events in a document that cannot be read are not counted, for nobody knows how many.
+    """
+    reason = F.col("reason")
+    other = reason.isNotNull() & (reason != DECODE_ERROR)
+    counts = judged.agg(
+        F.count("*").alias("documents"),
+        F.count_if(reason.isNull()).alias("published_documents"),
+        F.count_if(other).alias("refused_documents"),
+        F.count_if(reason == DECODE_ERROR).alias("undecodable_documents"),
+        F.coalesce(F.sum(F.when(reason.isNull(), F.col("n_events"))), F.lit(0)).alias("published_events"),
+        F.coalesce(F.sum(F.when(other, F.col("n_events"))), F.lit(0)).alias("refused_events"),
+    )
+    row = counts.select(F.lit(query).alias("query"), F.lit(batch_id).cast("bigint").alias("batch_id"), "*")
+    _replace(row.withColumn("batch", F.lit(batch)), path)
+
+
+def read_publish_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return read_or_empty(spark, PUBLISH_LEDGER_SCHEMA, path).drop("batch")
+
+
+def publish_totals(ledger: DataFrame) -> DataFrame:
+    """Counters over all batches: one row per outcome."""
+    totals = ledger.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _OUTCOMES))
+    return totals.unpivot([], list(_OUTCOMES), "outcome", "n")
+
+
+def _replace(rows: DataFrame, path: str) -> None:
+    (
+        rows.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("batch")
+        .parquet(path)
+    )

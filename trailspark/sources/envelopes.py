@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from trailspark.functions.numbers import number_tag
 from trailspark.functions.once import compute_once
 from trailspark.operators.decode import (
     as_event,
@@ -45,18 +46,19 @@ def decode_envelopes(envelopes: DataFrame) -> DataFrame:
 
     One value of the wrong kind makes the whole document undecodable.
     """
-    parsed = envelopes.withColumn("_parsed", parse_envelope(F.col("body")))
+    body, tag = F.col("body"), F.col("_tag")
+    parsed = envelopes.withColumn("_tag", number_tag(body)).withColumn("_parsed", parse_envelope(body, tag))
     listed = parsed.withColumn("_given", elements(F.col("_parsed.events")))
     read = listed.withColumn("_events", F.transform("_given", as_event))
     no_array = F.col("_given").isNull() & ~is_null(F.col("_parsed.events"))
     no_object = F.exists(
         F.zip_with("_given", "_events", lambda given, event: event.isNull() & ~is_null(given)), lambda wrong: wrong
     )
-    wrong_type = F.exists("_events", lambda e: e.isNotNull() & has_wrong_type(e, event_time(e)))
+    wrong_type = F.exists("_events", lambda e: e.isNotNull() & has_wrong_type(e, event_time(e), tag))
     broken = F.coalesce(F.col("_parsed").isNull() | no_array | no_object | wrong_type, F.lit(False))
-    events = F.transform("_events", lambda e: F.when(e.isNotNull(), event_struct(e, event_time(e))))
+    events = F.transform("_events", lambda e: F.when(e.isNotNull(), event_struct(e, event_time(e), tag)))
     decoded = compute_once(read, decode_error=broken, events=F.when(~broken, events))
-    return decoded.drop("_parsed", "_given", "_events")
+    return decoded.drop("_tag", "_parsed", "_given", "_events")
 
 
 def explode_events(envelopes: DataFrame) -> DataFrame:
