@@ -58,7 +58,9 @@ def test_numbers_keep_their_digits(spark, wrap):
         assert as_text(row["event"]["metadata"]) == wanted, body
 
 
-@pytest.mark.parametrize("payload", ["007", "1.", ".5", "+1", "1e", "0x1", "1.5.5", "--1", "NaN", '"a\\\\",', "01.5", "[1.5", "[1.5]]"])
+@pytest.mark.parametrize("payload", ["007", "1.", ".5", "+1", "1e", "0x1", "1.5.5", "--1", "NaN", '"a\\\\",', "01.5", "[1.5", "[1.5]]",
+    "{1.50:2}", '{"a":[{1e5:1}]}', "[1.50 2.50]", '"a"1.50', "true1.50", "-00", "1.5e", "1.5e+", "[.50]", "[1.50.0]", "['1.50']",
+    "{'a':1.50}", "1.50x", "-", "[-]", "[1.50,]", "[1.50-0]"])
 def test_bad_numbers_stay_refused(spark, payload):
     row = decoded(spark, [payload]).popitem()[1]
     assert row["dead_reason"] == "decode_error"

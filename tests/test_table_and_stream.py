@@ -25,11 +25,12 @@ from trailspark.sinks.ledger import (
     read_ledger,
     write_seconds_histogram,
 )
+from trailspark.sinks.refusals import publish_totals, read_publish_ledger, read_refusals
 from trailspark.sources.events import read_events, read_rollup
 from trailspark.sources.envelopes import read_envelopes, stream_envelopes
 from trailspark.sources.messages import from_files, stream_text
 from trailspark.streaming.ingest import IngestTables, batch_key, start_ingest
-from trailspark.streaming.publish import refused, start_publish
+from trailspark.streaming.publish import PublishTables, refused, start_accounts, start_publish
 
 
 def same(left, right) -> bool:
@@ -293,3 +294,38 @@ def test_cluster_conf_grows_with_the_shuffle():
     small, large = cluster_conf(1 << 30, 8), cluster_conf(10 << 40, 4000)
     assert int(small["spark.sql.shuffle.partitions"]) == 16
     assert int(large["spark.sql.shuffle.partitions"]) > 50_000
+
+
+def test_refused_documents_are_kept_and_counted_once(spark, tmp_path):
+    root = str(tmp_path)
+    (tmp_path / "in").mkdir()
+    tables = PublishTables(f"{root}/refused", f"{root}/ledger")
+    event = '{"actor":"%s","action":"user.create","target_type":"t","scope_type":"s"}'
+    good, bad = '{"events":[%s,%s]}' % (event % "a", event % "b"), '{"events":[%s,%s]}' % (event % "a", event % "")
+
+    def account(after_batch=None):
+        envelopes = stream_envelopes(spark, f"{root}/in")
+        start_accounts(
+            envelopes, tables, f"{root}/c", available_now=True, after_batch=after_batch
+        ).awaitTermination()
+
+    def lose(batch_id):
+        raise RuntimeError("lost")
+
+    assert read_refusals(spark, tables.refused).count() == 0
+    (tmp_path / "in" / "a").write_text("\n".join([good, bad, "oops", '{"events":[]}', bad]) + "\n")
+    with pytest.raises(Exception, match="lost"):
+        account(lose)
+    account()
+    (tmp_path / "in" / "b").write_text(good + "\n")
+    account()
+    kept = [(r["body"], r["n_events"], r["reason"]) for r in read_refusals(spark, tables.refused).collect()]
+    assert sorted(kept) == sorted([
+        ("oops", 0, "decode_error"), (bad, 2, "actor is required"), (bad, 2, "actor is required"),
+        ('{"events":[]}', 0, "events required"),
+    ])
+    ledger = read_publish_ledger(spark, tables.ledger)
+    assert {r["outcome"]: r["n"] for r in publish_totals(ledger).collect()} == {
+        "documents": 6, "published_documents": 2, "refused_documents": 3, "undecodable_documents": 1,
+        "published_events": 4, "refused_events": 4,
+    }

@@ -17,7 +17,8 @@ _ALTERED = r'(?:"\s*:|[\[,])\s*(?:-?[0-9]+[.eE]|-?[0-9]{17}|-0)'
 # What stands before the next such number: anything but strings and numbers, strings, and
 # short integers. Every loop is possessive, so the matcher neither backtracks nor recurses.
 _BEFORE = r'(?:[^"0-9-]++|"(?:[^"\\]++|\\.)*+"|-?[1-9][0-9]{0,15}+(?![0-9.eE+-]))*+'
-_NUMBER = r"-?[0-9][0-9.eE+-]*+"
+# Only a whole, well-formed number: any other stays as it is, for the parser to refuse.
+_NUMBER = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+(?![0-9.eE+-])"
 
 
 def number_tag(body: Column) -> Column:
@@ -29,9 +30,13 @@ def number_tag(body: Column) -> Column:
 
 
 def tagged(body: Column, tag: Column) -> Column:
-    """The document with its numbers as tagged text. NULL where `tag` is."""
+    """The document with its numbers as tagged text, the document itself where `tag` is NULL.
+
+    Text may stand where a number may, and as a key besides; check the document as it came
+    for keys.
+    """
     mark = F.concat(F.lit('$1"'), tag, F.lit("$2"), tag, F.lit('"'))
-    return F.regexp_replace(body, F.lit(rf"\G({_BEFORE})({_NUMBER})"), mark)
+    return F.coalesce(F.regexp_replace(body, F.lit(rf"\G({_BEFORE})({_NUMBER})"), mark), body)
 
 
 def untagged(rendered: Column, tag: Column) -> Column:

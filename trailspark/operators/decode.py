@@ -23,10 +23,8 @@ _EVENT = "struct<" + ", ".join(f"{c}: variant" for c in ("id",) + EVENT_COLUMNS)
 
 
 def _document(body: Column, tag: Column) -> Column:
-    """The variant of one JSON value; the text as it came decides whether it is JSON."""
-    plain = F.try_parse_json(body)
-    exact = F.when(tag.isNull(), plain).when(plain.isNotNull(), F.try_parse_json(tagged(body, tag)))
-    return F.when(is_single_document(body), exact)
+    """The variant of one JSON value, parsed once; keys are checked in the text as it came."""
+    return F.when(is_single_document(body), F.try_parse_json(tagged(body, tag)))
 
 
 def parse_event(body: Column, tag: Column) -> Column:

@@ -339,7 +339,7 @@ SELECT {LIST}, CASE WHEN more THEN (
         "minutes",
     ),
     "page_by_request": _trail(
-        f"SELECT {LIST} FROM trail WHERE request_id = 'req-77' ORDER BY created_at DESC, id DESC LIMIT 2 OFFSET 2",
+        f"SELECT {LIST} FROM trail WHERE request_id = 'req-77' ORDER BY created_at DESC, id DESC LIMIT 50",
         "minutes",
     ),
     "page_sizes": _audit(
