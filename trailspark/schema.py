@@ -15,6 +15,8 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
+# The names of the fields of events and groups, in the order of the result.
+
 #: Text an event cannot be admitted without, in the order it is checked.
 REQUIRED_TEXT = ("actor", "action", "target_type", "scope_type")
 #: Text that may be missing on input and then reads ''.

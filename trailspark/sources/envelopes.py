@@ -16,6 +16,7 @@ from trailspark.operators.decode import (
     parse_envelope,
 )
 from trailspark.schema import EVENT_COLUMNS
+from trailspark.sources.messages import FILES_PER_TRIGGER
 
 
 def read_envelopes(spark: SparkSession, path: str, *, whole_files: bool = False) -> DataFrame:
@@ -24,7 +25,7 @@ def read_envelopes(spark: SparkSession, path: str, *, whole_files: bool = False)
 
 
 def stream_envelopes(
-    spark: SparkSession, path: str, *, whole_files: bool = False, max_files_per_trigger: int | None = None
+    spark: SparkSession, path: str, *, whole_files: bool = False, max_files_per_trigger: int | None = FILES_PER_TRIGGER
 ) -> DataFrame:
     """The same as files arrive; a stream numbers no rows."""
     reader = spark.readStream

@@ -12,13 +12,17 @@ from trailspark.schema import DELIVERY_SCHEMA
 
 COORDINATES = ("source", "position")
 
+#: What a micro-batch takes at most unless told otherwise; a backlog becomes many batches.
+FILES_PER_TRIGGER = 1_000
+MESSAGES_PER_TRIGGER = 1_000_000
+
 
 def from_files(spark: SparkSession, path: str) -> DataFrame:
     """Delivery files (Parquet); a message's place is its file and row."""
     return _delivered(spark.read.schema(DELIVERY_SCHEMA).parquet(path))
 
 
-def stream_files(spark: SparkSession, path: str, *, max_files_per_trigger: int | None = None) -> DataFrame:
+def stream_files(spark: SparkSession, path: str, *, max_files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
     reader = spark.readStream.schema(DELIVERY_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -38,7 +42,7 @@ def from_text(spark: SparkSession, path: str) -> DataFrame:
     return _bodies(spark.read.text(path), F.monotonically_increasing_id())
 
 
-def stream_text(spark: SparkSession, path: str, *, max_files_per_trigger: int | None = None) -> DataFrame:
+def stream_text(spark: SparkSession, path: str, *, max_files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
     """Text files as they arrive; lines have no position until their batch is written."""
     reader = spark.readStream
     if max_files_per_trigger:
@@ -62,7 +66,7 @@ def stream_kafka(
     *,
     batch_size: int = 200,
     flush_interval: str = "2s",
-    max_per_trigger: int | None = None,
+    max_per_trigger: int | None = MESSAGES_PER_TRIGGER,
 ) -> DataFrame:
     """A Kafka topic (needs the connector on the class path).
 
