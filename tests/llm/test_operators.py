@@ -201,6 +201,30 @@ def test_near_paragraphs(spark):
     assert {r.doc_id: r.text for r in got} == {1: PASSAGE, 2: "lead", 3: rows[2][1]}
 
 
+@pytest.mark.parametrize("group", [512, 24])
+def test_every_pair_of_a_bucket_is_resolved(spark, group, monkeypatch):
+    """Variants of one text, each with a twin: the centres of a bucket are mostly other variants."""
+    monkeypatch.setattr(paragraphs, "GROUP", group)
+    chance = random.Random(5)
+    rows = []
+    for k in range(600):
+        words = [f"w{n}" for n in range(120)]
+        for n in chance.sample(range(120), 4):
+            words[n] = f"v{k}x{n}"
+        rows.append((2 * k, " ".join(words)))
+        for n in chance.sample([n for n in range(10, 110) if words[n][0] == "w"], 2):
+            words[n] = f"t{k}x{n}"
+        rows.append((2 * k + 1, " ".join(words)))
+    sets = [set(paragraphs.shingles(t.encode().split()).tolist()) for _, t in rows]
+    near = [
+        (a, b) for a in range(len(sets)) for b in range(a)
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    ]
+    wanted = {min(c) for c in classes(near, range(len(rows)))}
+    got = paragraphs.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.n_removed == 0} == wanted
+
+
 def test_decontamination(spark, docs):
     question = "If Alice buys 12 apples for 3 kg each and Bob buys 12 pears how many does Alice have left over today"
     bench = spark.createDataFrame([(1, question), (2, "too short"), (3, None)], "item_id long, text string")

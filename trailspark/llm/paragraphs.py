@@ -3,10 +3,13 @@
 Paragraphs are lines of at least `min_words` words. Equal paragraphs (by the digest of their
 words) are one node. Each distinct paragraph gets a MinHash signature of its five-word
 shingles, cut into bands that `tune_bands` chooses for recall. In every bucket each member is
-paired with two centres (smallest and largest by a hash that differs from band to band), so
-pairs grow in proportion to the members and never with their square. Pairs are verified by
-exact Jaccard of the shingle sets; components of verified links are clusters, and of each
-cluster the first occurrence (by document id, then line) stays while all others are removed.
+paired with two centres (smallest and largest by a hash that differs from band to band), and
+pairs are verified by exact Jaccard of the shingle sets. Where the other members of a bucket are
+not all linked by that, every two of them that are not linked yet are compared within a task;
+a bucket above a bound is dealt to pairs of blocks, without those whose members are all linked.
+So no pair that shares a bucket stays open, and a group that its centres link costs pairs in
+proportion to its members. Components of verified links are clusters, and of each cluster the
+first occurrence (by document id, then line) stays while all others are removed.
 
 A pair with similarity s fails to meet in any of b bands of r rows with probability
 (1 - s^r)^b; the bands are chosen so that this stays below 0.1 % at the threshold. Two
@@ -21,11 +24,12 @@ treated as one document; an empty table gives no rows; other columns are passed
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from trailspark.llm.batches import map_rows
+from trailspark.llm.batches import importable, map_rows
 from trailspark.llm.components import components
 from trailspark.llm.tables import saved
 
@@ -38,6 +42,9 @@ SIGNATURE = 100
 #: Largest side that is sent to every task: 2^20 rows of a few longs are some tens of megabytes.
 BROADCAST_ROWS = 1 << 20
 
+#: Members of a bucket compared within a task; a larger bucket is dealt to pairs of blocks.
+GROUP = 512
+
 _PRIME = np.uint64((1 << 61) - 1)
 
 
@@ -133,6 +140,82 @@ def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
     return map_rows(pairs, ["a", "b"], ["x", "y"], added, make).filter("same").select("a", "b")
 
 
+def _forest(near: np.ndarray, roots: list[int]) -> list[tuple[int, int]]:
+    """Links between roots that connect what `near` connects."""
+    links, left = [], np.arange(len(roots))
+    while len(left):
+        frontier, left = [int(left[0])], left[1:]
+        while frontier and len(left):
+            node = frontier.pop()
+            hit = near[node, left]
+            found, left = left[hit].tolist(), left[~hit]
+            links += [(roots[node], roots[x]) for x in found if roots[node] != roots[x]]
+            frontier += found
+    return links
+
+
+def _common(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many hashes each two of the sets share."""
+    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = n > 1
+    numbers = np.cumsum(shared) - 1
+    owner, column = owner[shared[column]], numbers[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for start in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, [start, start + width])
+        held = np.zeros((len(sets), min(width, int(shared.sum()) - start)), np.float32)
+        held[owner[a:b], column[a:b] - start] = 1
+        out += (held @ held.T).astype(np.int64)
+    return out
+
+
+def _open_groups(members: DataFrame, group: int) -> DataFrame:
+    """(h, x, y, k1, root): groups (h, x, y) in which every two members (h, k1, root) meet.
+
+    Two of one bucket meet if their roots differ. A root with many members has blocks of its
+    own, so no block is paired with another of the same single root.
+    """
+    half = max(group // 2, 1)
+    sizes = members.groupBy("h", "root").agg(F.count("*").alias("n"))
+    few = F.sum(F.when(F.col("n") <= half, F.col("n")).otherwise(0)).alias("few")
+    mixed = sizes.groupBy("h").agg(F.sum("n").alias("total"), few, F.count("*").alias("roots")).filter("roots > 1")
+    sizes = saved(sizes.join(mixed, "h").select("h", "root", "n", "total", "few"), "sizes")
+    n_sizes = sizes.count()
+    parts = lambda n: F.ceil(n / half)
+    of_root = F.xxhash64("root", F.pmod(F.xxhash64("k1"), parts(F.col("n"))))
+    of_few = F.xxhash64(F.lit("few"), F.pmod(F.xxhash64("root"), F.greatest(parts(F.col("few")), F.lit(1))))
+    block = F.when(F.col("total") <= group, F.lit(0).cast("long")).when(F.col("n") > half, of_root).otherwise(of_few)
+    members = members.join(F.broadcast(sizes) if n_sizes <= BROADCAST_ROWS else sizes, ["h", "root"])
+    members = saved(members.select("h", "k1", "root", block.alias("block")), "members")
+    blocks = members.groupBy("h", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    x = blocks.select("h", F.col("block").alias("x"), "lo", "hi")
+    y = blocks.select("h", F.col("block").alias("y"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"))
+    met = x.join(y, "h").filter((F.col("x") <= F.col("y")) & (F.least("lo", "lo_y") < F.greatest("hi", "hi_y")))
+    met = met.select("h", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    return members.join(met, ["h", "block"]).select("h", "x", "y", "k1", "root")
+
+
+def _open_links(groups: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the roots of members (h, x, y, k1, root) of a group that are similar."""
+
+    def link(table: pa.Table) -> pa.Table:
+        roots = table["root"].to_pylist()
+        sets = [shingles(_words(line)) for line in table["line"].to_pylist()]
+        common = _common(sets)
+        sizes = np.array([len(s) for s in sets])
+        near = common >= similarity * (sizes[:, None] + sizes - common)
+        own = np.array(roots)
+        links = _forest(near | (own[:, None] == own), roots)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    importable(groups.sparkSession)
+    shown = groups.join(lines, "k1").select("h", "x", "y", "root", "line")
+    return shown.groupBy("h", "x", "y").applyInArrow(link, "a long, b long")
+
+
 def repeated_paragraphs(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     min_words: int = MIN_WORDS, similarity: float = SIMILARITY,
@@ -151,10 +234,11 @@ def repeated_paragraphs(
     # member has another order in every bucket, and mixing again gives the key back
     buckets = nodes.select("k1", F.explode("bands").alias("h"))
     mixed = F.col("k1").bitwiseXOR(F.col("h"))
-    centres = buckets.groupBy("h").agg(F.min(mixed).alias("a"), F.max(mixed).alias("b")).filter("a <> b")
-    centres = centres.select(
-        "h", F.col("a").bitwiseXOR(F.col("h")).alias("a"), F.col("b").bitwiseXOR(F.col("h")).alias("b")
+    centres = buckets.groupBy("h").agg(F.min(mixed).alias("a"), F.max(mixed).alias("b"), F.count("*").alias("n"))
+    centres = centres.filter("a <> b").select(
+        "h", F.col("a").bitwiseXOR(F.col("h")).alias("a"), F.col("b").bitwiseXOR(F.col("h")).alias("b"), "n"
     )
+    centres = saved(centres, "centres")
     met = buckets.join(centres, "h").select("k1", F.explode(F.array("a", "b")).alias("c"))
     pairs = met.filter(F.col("k1") != F.col("c")).select(
         F.least("k1", "c").alias("a"), F.greatest("k1", "c").alias("b")
@@ -168,6 +252,17 @@ def repeated_paragraphs(
     roots = components(_verified(shown, similarity), "a", "b")
     classes = nodes.select("k1", "first", "n").join(roots, nodes["k1"] == roots["node"], "left")
     classes = classes.select("k1", "first", "n", F.coalesce("root", "k1").alias("root"))
+    # the centres have met all others of their bucket: two members besides them may be open
+    crowded = centres.filter("n > 3").select("h", "a", "b")
+    n_crowded = crowded.count()
+    if n_crowded:
+        crowded = F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded
+        rest = buckets.join(crowded, "h").filter("k1 <> a AND k1 <> b").select("h", "k1")
+        rest = rest.join(roots, rest["k1"] == roots["node"], "left")
+        rest = saved(rest.select("h", "k1", F.coalesce("root", "k1").alias("root")), "rest")
+        more = components(_open_links(_open_groups(rest, GROUP), lines, similarity), "a", "b")
+        more = more.select(F.col("node").alias("root"), F.col("root").alias("joined"))
+        classes = classes.join(more, "root", "left").select("k1", "first", "n", F.coalesce("joined", "root").alias("root"))
     clusters = classes.groupBy("root").agg(F.sum("n").alias("size"), F.min("first").alias("first"))
     clusters = clusters.filter("size > 1").select("root", F.col("first._id").alias("first_id"), F.col("first.no").alias("first_no"))
     classes = classes.select("k1", "root").distinct().join(clusters, "root")
