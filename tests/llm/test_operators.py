@@ -240,6 +240,22 @@ def test_decontamination(spark, docs):
     assert decontaminate(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_partial_edited_and_numeric_items(spark):
+    long = " ".join(f"long{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(80))
+    short = "what makes the old river bend so sharply just below our town before reaching the wide open sea again"
+    numbers = "1 2 3 5 8 13 21 34 55 89 144 233 377 610 987 1597 2584 4181"
+    bench = spark.createDataFrame([(1, long), (2, short), (3, numbers)], "item_id long, text string")
+    quote = " ".join(long.split()[20:34])
+    edited = short.replace("below", "beyond")
+    rows = [
+        (1, f"start {quote} end"), (2, f"start {edited} end"), (3, f"row {numbers} end"),
+        (4, "start " + " ".join(long.split()[20:32]) + " end"), (5, "row 2 2 3 5 9 13 22 34 56 89 145 233 378 610 988 1597"),
+    ]
+    got = decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {r.doc_id: list(r.item_ids) for r in got if r.contaminated} == {1: [1], 2: [2], 3: [3]}
+    assert {k for r in got for k in r.kinds} == {"verbatim"}
+
+
 def test_quality_cases(docs):
     rows = quality_rules(docs).collect()
     assert len(rows) == len(ROWS)
