@@ -8,16 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailspark.llm.bpe import read_ranks, round_trip
+from trailspark.llm.centroids import centroid_digest, cluster_vectors, with_inertia
 from trailspark.llm.content import extract_pages
 from trailspark.llm.decontaminate import decontaminate
+from trailspark.llm.fill_middle import fill_middle, restore_text
 from trailspark.llm.language_model import score_documents
 from trailspark.llm.licenses import LICENSE_COLUMNS, scan_licenses
 from trailspark.llm.paragraphs import remove_repeats
 from trailspark.llm.quality import quality_rules
 from trailspark.llm.simhash import near_duplicates
 from trailspark.llm.suffixes import remove_repeated_strings
-from trailspark.llm.tables import read_table, scratch, whole_text
+from trailspark.llm.tables import read_table, saved, scratch, whole_text
 from trailspark.llm.token_counts import count_tokens
+from trailspark.llm.warc import page_number, round_trip as archive_round_trip
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -101,6 +104,32 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(docs).select("doc_id", *LICENSE_COLUMNS.names)
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = restore_text(F.col("output"), F.col("form"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(restored.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archive_round_trip(read_table(spark, sf_dir, "pages"))
+    return records.select(
+        page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        page_number("refers_to").alias("refers_to"),
+    )
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    assigned, centroids = cluster_vectors(vectors)
+    assigned = saved(assigned.select("vec_id", "cluster", "distance"), "assigned-vectors")
+    digests = F.array(*(F.lit(centroid_digest(c)) for c in centroids), F.lit(None).cast("string"))
+    return with_inertia(assigned, centroids).withColumn("centroid_sha256", F.get(digests, F.col("cluster")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_model": op1_language_model,
     "op2_byte_bpe": op2_byte_bpe,
@@ -112,4 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_warc": op12_warc,
+    "op13_centroids": op13_centroids,
 }
