@@ -57,7 +57,7 @@ def test_cut(spark, how):
     assert all(r.restored == (r.text or "") for r in rows)
     assert len({r.form for r in rows}) == 3
     assert fill_middle(docs.limit(0), how).count() == 0
-    assert "Python" not in plan(cut) and "Arrow" not in plan(cut) and "Exchange" not in plan(cut)
+    assert not re.search("PythonUDF|MapIn|ArrowEval|Exchange", plan(cut))
 
 
 def test_markers_that_could_be_mistaken():
@@ -220,7 +220,7 @@ def test_clusters(spark, k, rounds):
     # the last column has the name of one that is added
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, cluster int").repartition(5)
     assigned, centroids = cluster_vectors(vectors, k, rounds, dims=4)
-    assert "Python" not in plan(assigned) and "Arrow" not in plan(assigned)
+    assert not re.search("PythonUDF|MapIn|ArrowEval", plan(assigned))
     done = with_inertia(assigned, centroids).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia")
     wanted, means = brute_clusters(rows, k, rounds)
     assert centroids == means and Counter(map(tuple, done.collect())) == wanted

@@ -2,7 +2,8 @@
 
 A vector of floats becomes whole numbers, so that distances and means are exact and no result
 depends on the order of a sum. For each literal centroid `zip_with` and `aggregate` give the
-squared distance, and the smallest of the structs (distance, number) is the cluster. Sums of
+product with the vector, from that and the squares of both the squared distance follows, and the
+smallest of the structs (distance, number) is the cluster. Sums of
 the single components and a count, 40 rows in all, give the next centroids; they are combined
 before the shuffle, so a cluster of any size is one row per task. Only centroids and their sums
 come to the driver: their number is a parameter, not a property of the data.
@@ -27,11 +28,13 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trailspark.functions.once import compute_once
 from trailspark.llm.tables import saved
 
 Centroids = list[tuple[int, ...]]
 
-#: Whole numbers stay below this, so that the squared distance of up to 127 components is a long.
+#: Whole numbers stay below this, so that the squared distance of up to 127 components, and every
+#: sum on the way to it, is a long.
 LARGEST = 1 << 27
 
 
@@ -43,8 +46,8 @@ def whole_vectors(vectors: DataFrame, vector: str = "embedding", dims: int = 64,
         return F.coalesce(~F.isnan(x) & (size < LARGEST), F.lit(False))
 
     good = F.coalesce((F.size(vector) == dims) & F.forall(vector, counts), F.lit(False))
-    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("int"))
-    return vectors.filter(good).withColumn("_v", whole)
+    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
+    return compute_once(vectors.filter(good), _v=whole)
 
 
 def _digest(vec_id: Column, seed: str) -> Column:
@@ -66,23 +69,33 @@ def first_centroids(whole: DataFrame, n: int, k: int, vec_id: str = "vec_id", se
 
 
 def _literal(centroids: Centroids) -> Column:
-    return F.expr("array(" + ",".join("array(" + ",".join(map(str, c)) + ")" for c in centroids) + ")")
+    """Structs of a centroid's components and the sum of their squares."""
+    arrays = ("array(" + ",".join(f"{x}L" for x in c) + ")" for c in centroids)
+    squares = (sum(x * x for x in c) for c in centroids)
+    return F.expr("array(" + ",".join(f"named_struct('c', {a}, 'cc', {n}L)" for a, n in zip(arrays, squares)) + ")")
 
 
 def _nearest(centroids: Centroids) -> Column:
-    def distance(centroid: Column) -> Column:
-        squares = F.zip_with("_v", centroid, lambda x, c: (x - c).cast("bigint") * (x - c))
-        return F.aggregate(squares, F.lit(0).cast("bigint"), lambda total, square: total + square)
+    """Struct of the squared distance less the squares of the vector itself, and the cluster."""
+    zero = F.lit(0).cast("bigint")
+
+    def product(centroid: Column) -> Column:
+        return F.aggregate(F.zip_with("_v", centroid, lambda x, c: x * c), zero, lambda total, term: total + term)
 
     return F.array_min(
-        F.transform(_literal(centroids), lambda c, j: F.struct(distance(c).alias("distance"), j.alias("cluster")))
+        F.transform(
+            _literal(centroids),
+            lambda c, j: F.struct((c["cc"] - 2 * product(c["c"])).alias("distance"), j.alias("cluster")),
+        )
     )
 
 
 def assign(whole: DataFrame, centroids: Centroids) -> DataFrame:
     """Add `cluster` and `distance` (squared) of the nearest centroid to vectors `_v`."""
-    nearest = whole.withColumn("_nearest", _nearest(centroids))
-    return nearest.withColumns({"cluster": F.col("_nearest.cluster"), "distance": F.col("_nearest.distance")}).drop("_nearest")
+    nearest = compute_once(whole, _nearest=_nearest(centroids))
+    own = F.aggregate("_v", F.lit(0).cast("bigint"), lambda total, x: total + x * x)
+    added = {"cluster": F.col("_nearest.cluster"), "distance": F.col("_nearest.distance") + own}
+    return nearest.withColumns(added).drop("_nearest")
 
 
 def moved(whole: DataFrame, centroids: Centroids) -> Centroids:
@@ -90,7 +103,7 @@ def moved(whole: DataFrame, centroids: Centroids) -> Centroids:
     dims = len(centroids[0])
     near = whole.select("_v", _nearest(centroids)["cluster"].alias("cluster"))
     sums = near.groupBy("cluster").agg(
-        F.count("*").alias("n"), *(F.sum(F.get("_v", F.lit(d)).cast("bigint")).alias(f"s{d}") for d in range(dims))
+        F.count("*").alias("n"), *(F.sum(F.get("_v", F.lit(d))).alias(f"s{d}") for d in range(dims))
     )
     after = list(centroids)
     for row in sums.collect():

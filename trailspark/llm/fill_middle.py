@@ -15,6 +15,7 @@ the same name. Very long texts are cut whole; a text has fewer than 2^31 units.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from itertools import product
 
@@ -68,6 +69,11 @@ def _literal(text: str) -> str:
     return text.replace("\\", "\\\\").replace("$", "\\$")
 
 
+def _pattern(text: str) -> str:
+    """A pattern that matches just the text."""
+    return re.sub(r"([!-/:-@\[-`{-~])", r"\\\1", text)
+
+
 def _counted(n: Column) -> Column:
     return F.concat(F.lit(_POSSESSIVE_UNIT + "{"), n.cast("string"), F.lit("}+"))
 
@@ -110,7 +116,7 @@ def cut_parts(output: Column, form: Column, how: FillMiddle = FillMiddle()) -> C
 
     A marker stands in a text once, so the parts lie between where the markers are found.
     """
-    split = F.split(output, "|".join(rf"\Q{marker}\E" for marker in how.markers))
+    split = F.split(output, "|".join(_pattern(marker) for marker in how.markers))
     first, second, third = (F.get(split, F.lit(k)) for k in (1, 2, 3))
     spm = form == SPM
     parts = F.struct(
