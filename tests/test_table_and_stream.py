@@ -25,12 +25,22 @@ from trailspark.sinks.ledger import (
     read_ledger,
     write_seconds_histogram,
 )
-from trailspark.sinks.refusals import publish_totals, read_publish_ledger, read_refusals
 from trailspark.sources.events import read_events, read_rollup
 from trailspark.sources.envelopes import read_envelopes, stream_envelopes
-from trailspark.sources.messages import from_files, stream_text
+from trailspark.sources.messages import from_files, from_kafka, stream_text
 from trailspark.streaming.ingest import IngestTables, batch_key, start_ingest
-from trailspark.streaming.publish import PublishTables, refused, start_accounts, start_publish
+from trailspark.streaming.outbox import (
+    Outbox,
+    outbox_messages,
+    outbox_refusals,
+    publish_totals,
+    read_commits,
+    start_outbox,
+    start_relay,
+    to_text,
+    with_place,
+)
+from trailspark.streaming.publish import published, refused, start_publish
 
 
 def same(left, right) -> bool:
@@ -296,36 +306,102 @@ def test_cluster_conf_grows_with_the_shuffle():
     assert int(large["spark.sql.shuffle.partitions"]) > 50_000
 
 
-def test_refused_documents_are_kept_and_counted_once(spark, tmp_path):
+def test_a_batch_is_published_with_one_commit(spark, tmp_path):
+    """A stream that fails before a commit, and one that fails after, leave each document once."""
     root = str(tmp_path)
     (tmp_path / "in").mkdir()
-    tables = PublishTables(f"{root}/refused", f"{root}/ledger")
+    outbox = Outbox(f"{root}/records", f"{root}/commits")
     event = '{"actor":"%s","action":"user.create","target_type":"t","scope_type":"s"}'
     good, bad = '{"events":[%s,%s]}' % (event % "a", event % "b"), '{"events":[%s,%s]}' % (event % "a", event % "")
 
-    def account(after_batch=None):
+    def publish(**hooks):
         envelopes = stream_envelopes(spark, f"{root}/in")
-        start_accounts(
-            envelopes, tables, f"{root}/c", available_now=True, after_batch=after_batch
-        ).awaitTermination()
+        start_outbox(envelopes, outbox, f"{root}/c", available_now=True, **hooks).awaitTermination()
 
     def lose(batch_id):
         raise RuntimeError("lost")
 
-    assert read_refusals(spark, tables.refused).count() == 0
+    def state():
+        return (
+            sorted(r["value"] for r in outbox_messages(spark, outbox).collect()),
+            sorted((r["body"], r["n_events"], r["reason"]) for r in outbox_refusals(spark, outbox).collect()),
+            {r["outcome"]: r["n"] for r in publish_totals(read_commits(spark, outbox)).collect()},
+        )
+
+    assert state()[:2] == ([], [])
     (tmp_path / "in" / "a").write_text("\n".join([good, bad, "oops", '{"events":[]}', bad]) + "\n")
     with pytest.raises(Exception, match="lost"):
-        account(lose)
-    account()
-    (tmp_path / "in" / "b").write_text(good + "\n")
-    account()
-    kept = [(r["body"], r["n_events"], r["reason"]) for r in read_refusals(spark, tables.refused).collect()]
-    assert sorted(kept) == sorted([
+        publish(before_commit=lose)
+    # written, and not to be seen
+    assert len(parquet_files(outbox.records)) > 0 and state()[:2] == ([], [])
+    with pytest.raises(Exception, match="lost"):
+        publish(after_batch=lose)
+    committed, files = state(), parquet_files(outbox.records)
+    publish()
+    assert state() == committed and parquet_files(outbox.records) == files
+    assert committed[1] == sorted([
         ("oops", 0, "decode_error"), (bad, 2, "actor is required"), (bad, 2, "actor is required"),
         ('{"events":[]}', 0, "events required"),
     ])
-    ledger = read_publish_ledger(spark, tables.ledger)
-    assert {r["outcome"]: r["n"] for r in publish_totals(ledger).collect()} == {
+    (tmp_path / "in" / "b").write_text(good + "\n")
+    publish()
+    messages, _, totals = state()
+    assert messages == sorted(r["value"] for r in published(read_envelopes(spark, f"{root}/in")).collect())
+    assert totals == {
         "documents": 6, "published_documents": 2, "refused_documents": 3, "undecodable_documents": 1,
         "published_events": 4, "refused_events": 4,
     }
+
+
+def test_the_relay_sends_committed_batches_once(spark, tmp_path):
+    root = str(tmp_path)
+    (tmp_path / "in").mkdir()
+    outbox = Outbox(f"{root}/records", f"{root}/commits")
+    event = '{"actor":"%s","action":"user.create","target_type":"t","scope_type":"s"}'
+
+    def publish(name, **hooks):
+        (tmp_path / "in" / name).write_text('{"events":[%s]}\n' % (event % name))
+        envelopes = stream_envelopes(spark, f"{root}/in")
+        start_outbox(envelopes, outbox, f"{root}/c", available_now=True, **hooks).awaitTermination()
+
+    send, sent = to_text(f"{root}/out"), []
+
+    def failing(messages, batch):
+        send(messages, batch)
+        sent.append(batch)
+        if len(sent) == 1:
+            raise RuntimeError("lost")
+
+    def relay():
+        start_relay(spark, outbox, f"{root}/r", failing, available_now=True).awaitTermination()
+
+    publish("a")
+    with pytest.raises(Exception, match="lost"):
+        relay()
+    relay()
+    publish("b")
+    relay()
+    assert sent[0] == sent[1] != sent[2]
+    lines = sorted(r["value"] for r in spark.read.text(f"{root}/out").collect())
+    assert lines == sorted(r["value"] for r in outbox_messages(spark, outbox).collect()) and len(lines) == 2
+    records = spark.read.parquet(outbox.records)
+    placed = with_place(records).select("value", F.expr("string(headers[0].value)").alias("place"))
+    assert placed.select("place").distinct().count() == 2
+
+
+def test_headers_of_a_broker(spark):
+    schema = "value binary, topic string, partition int, offset bigint, headers array<struct<key string, value binary>>"
+    cases = [
+        (None, None, None), ([], None, None), ([("x-death", b'[{"count":3,"queue":"q"}]')], [3], None),
+        ([("x-death", b"[]")], [], None), ([("x-death", b"{oops")], [], None), ([("x-death", None)], [], None),
+        ([("x-death", b'[{"queue":"q"}]')], [None], None), ([("redelivered", b"true")], None, True),
+        ([("redelivered", b"false"), ("x-death", b'[{"count":1},{"count":9}]')], [1, 9], False),
+        ([("redelivered", None)], None, False), ([("x-death", b'[{"count":5}]'), ("x-death", b'[{"count":6}]')], [5], None),
+    ]
+    rows = [(b"{}", "t", 1, k, headers) for k, (headers, _, _) in enumerate(cases)]
+    read = from_kafka(spark.createDataFrame(rows, schema)).orderBy("position").collect()
+    for row, (_, counts, redelivered) in zip(read, cases):
+        assert (row["x_death"] if row["x_death"] is None else [d["count"] for d in row["x_death"]]) == counts
+        assert row["redelivered"] is redelivered and row["source"] == "t/1"
+    plain = from_kafka(spark.createDataFrame(rows, schema).drop("headers"))
+    assert plain.filter("x_death IS NOT NULL OR redelivered IS NOT NULL").count() == 0

@@ -19,8 +19,8 @@ MAX_RPC_EVENTS = 1000
 
 _REQUIRED = tuple(f"{c} is required" for c in REQUIRED_TEXT)
 
-#: Pieces a refused batch is split into when its events are matched to it.
-BATCH_SALTS = 32
+#: A batch with more than one in this many of all events is heavy: at most as many are.
+HEAVY_SHARE = 1000
 
 
 def reject_reason(event: Column | None = None) -> Column:
@@ -93,22 +93,37 @@ def batch_decisions(
     return decided.select(batch, "n_events", batch_reason(F.col("n_events"), first, max_events).alias("reason"))
 
 
+def heavy_batches(decisions: DataFrame, batch: str) -> DataFrame:
+    """`batch, pieces` of the batches that hold more than one in `HEAVY_SHARE` of all events.
+
+    There are fewer than `HEAVY_SHARE` of them, whatever the data. A piece has about one in
+    `HEAVY_SHARE` of all events.
+    """
+    total = decisions.agg(F.sum("n_events").alias("total")).scalar()
+    heavy = decisions.filter(F.col("n_events") * HEAVY_SHARE > total)
+    pieces = F.ceil(F.col("n_events") * HEAVY_SHARE / total).cast("int")
+    return heavy.select(F.col(batch).alias("_heavy"), pieces.alias("_pieces"))
+
+
 def admitted_events(events: DataFrame, batch: str, position: str, max_events: int | None = None) -> DataFrame:
     """Events of the admitted batches of a flat table.
 
-    Refused batches are the small side, yet one of them may hold a third of the events: each
-    is matched in `BATCH_SALTS` pieces. Whether that side is broadcast is left to Spark,
-    which knows its size at run time.
+    Refused batches are the small side, yet one of them may hold a third of the events. Heavy
+    batches are known from their exact counts before the match, and each is matched in as many
+    pieces as its size asks for; all others are matched whole and copied nowhere. The list of
+    heavy batches has a fixed bound, so it is broadcast; whether the refused batches are is left
+    to Spark, which knows their size at run time.
     """
-    refused = (
-        batch_decisions(events, batch, position, max_events)
-        .filter("reason IS NOT NULL")
-        .select(
-            F.col(batch).alias("_batch"),
-            F.explode(F.sequence(F.lit(0), F.lit(BATCH_SALTS - 1))).alias("_refused_salt"),
-        )
-    )
-    salted = events.withColumn("_salt", F.pmod(F.xxhash64(position), F.lit(BATCH_SALTS)).cast("int"))
+    decisions = batch_decisions(events, batch, position, max_events)
+    heavy = heavy_batches(decisions, batch)
+    refused = decisions.filter("reason IS NOT NULL").select(F.col(batch).alias("_batch"))
     # events without a batch are a batch too, so null matches null
-    same = F.col(batch).eqNullSafe(F.col("_batch")) & (F.col("_salt") == F.col("_refused_salt"))
+    refused = refused.join(F.broadcast(heavy), F.col("_batch").eqNullSafe(F.col("_heavy")), "left").select(
+        "_batch", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)).alias("_piece")
+    )
+    salted = events.join(F.broadcast(heavy), F.col(batch).eqNullSafe(F.col("_heavy")), "left").select(
+        *events.columns,
+        F.pmod(F.xxhash64(position), F.coalesce("_pieces", F.lit(1))).cast("int").alias("_salt"),
+    )
+    same = F.col(batch).eqNullSafe(F.col("_batch")) & (F.col("_salt") == F.col("_piece"))
     return salted.join(refused, same, "left_anti").drop("_salt")

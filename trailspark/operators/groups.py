@@ -88,15 +88,18 @@ def fetch_groups(
     return groups
 
 
-def write_rollup(groups: DataFrame, path: str, batch: str) -> None:
-    """Group rows under `bucket_date`/`batch`; writing a batch again replaces it.
-
-    Rebalancing by day gives each day few files of even size, however uneven the days.
+def spread_rollup(groups: DataFrame, batch: str) -> DataFrame:
+    """Adds `bucket_date` and `batch`; rebalancing by day gives each day few files of even size,
+    however uneven the days.
     """
+    dated = groups.withColumn("bucket_date", utc_date(F.col("bucket_start"))).withColumn("batch", F.lit(batch))
+    return dated.hint("rebalance", "bucket_date")
+
+
+def write_rollup(groups: DataFrame, path: str, batch: str) -> None:
+    """Group rows under `bucket_date`/`batch`; writing a batch again replaces it."""
     (
-        groups.withColumn("bucket_date", utc_date(F.col("bucket_start")))
-        .withColumn("batch", F.lit(batch))
-        .hint("rebalance", "bucket_date")
+        spread_rollup(groups, batch)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket_date", "batch")

@@ -46,9 +46,9 @@ def _checked(payload: str) -> Column:
     return F.when(is_strict_json(payload), _one_line(payload))
 
 
-def event_json() -> Column:
-    """A listed event as JSON."""
-    return _json(LIST_COLUMNS, OMITTED_WHEN_EMPTY, _checked)
+def event_json(*, known_json: bool = False) -> Column:
+    """A listed event as JSON; say `known_json` for events whose payloads were checked when written."""
+    return _json(LIST_COLUMNS, OMITTED_WHEN_EMPTY, _one_line if known_json else _checked)
 
 
 def group_json() -> Column:
@@ -66,10 +66,10 @@ def encode_messages(events: DataFrame, *, known_json: bool = False) -> DataFrame
     return events.select(message_json(known_json=known_json).alias("value"))
 
 
-def page_json(events: DataFrame, next_cursor: str | None) -> DataFrame:
+def page_json(events: DataFrame, next_cursor: str | None, *, known_json: bool = False) -> DataFrame:
     """A page (100 rows at most, in order) as one JSON document; no events give null."""
     newest = [F.desc("created_at"), F.desc("id")]
-    return _document(events, "events", event_json(), newest, next_cursor)
+    return _document(events, "events", event_json(known_json=known_json), newest, next_cursor)
 
 
 def groups_json(groups: DataFrame) -> DataFrame:

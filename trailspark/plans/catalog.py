@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import date, datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -47,12 +47,23 @@ from trailspark.sinks.dead_letters import read_dead_letters, write_dead_letters
 from trailspark.sinks.events import append_events, compact_days
 from trailspark.sinks.ledger import batch_size_histogram, ledger_totals, read_ledger
 from trailspark.sinks.messages import write_messages
-from trailspark.sinks.refusals import publish_totals, read_publish_ledger, read_refusals
+from trailspark.sinks.layout import by_lookup
+from trailspark.sinks.trail import compact_trail
 from trailspark.sources.envelopes import decode_envelopes, explode_events, read_envelopes, stream_envelopes
 from trailspark.sources.events import read_events, read_rollup
-from trailspark.sources.messages import COORDINATES, from_files, from_text, stream_files
+from trailspark.sources.messages import COORDINATES, from_files, from_kafka, from_text, stream_files
+from trailspark.sources.trail import TrailTables, read_trail
 from trailspark.streaming.ingest import IngestTables, start_ingest
-from trailspark.streaming.publish import PublishTables, refused, start_accounts, start_publish
+from trailspark.streaming.outbox import (
+    Outbox,
+    outbox_refusals,
+    publish_totals,
+    read_commits,
+    start_outbox,
+    start_relay,
+    to_text,
+)
+from trailspark.streaming.publish import refused, start_publish
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,7 +84,7 @@ FILTERS: dict[str, EventFilter] = {
     "f_category_router": EventFilter(category="router_access"),
     "f_target": EventFilter(target_type="order", target_id="t-2"),
     "f_request": EventFilter(request_id="req-77"),
-    "f_exclude_category": EventFilter(exclude_categories=["sensitive_read, router_access", "router_access"]),
+    "f_exclude_category": EventFilter(exclude_categories=["system", " business_mutation ,system"]),
     "f_exclude_service": EventFilter(exclude_services=["gateway", " web-svc ,"]),
     "f_exclude_action": EventFilter(exclude_actions=["ui.click,report.view", "POST /checkout"]),
     "f_time": EventFilter(since=SINCE, until=UNTIL),
@@ -177,7 +188,7 @@ def message_files(spark: SparkSession, sf_dir: str) -> str:
 
 
 def src_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    envelopes = read_envelopes(spark, envelope_files(spark, sf_dir))
+    envelopes = read_envelopes(spark, envelope_files(spark, sf_dir), numbered=False)
     admitted = admit_envelopes(decode_envelopes(envelopes))
     return plain_times(explode_events(admitted).drop("source_file", "source_row"))
 
@@ -192,11 +203,29 @@ def map_wire_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = decode_messages(from_text(spark, message_files(spark, sf_dir)))
+    decoded = decode_messages(from_text(spark, message_files(spark, sf_dir), numbered=False))
     events = normalize(decoded.select("event.*", "dead_reason"), F.lit(ARRIVAL).cast("timestamp"))
     return plain_times(events)
 
 
+def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of one file, read in many splits, with their numbers and ids."""
+
+    def write(path: str) -> None:
+        ordered = table_events(spark, sf_dir).orderBy("event_id").coalesce(1).sortWithinPartitions("event_id")
+        encode_messages(ordered).write.text(path)
+
+    path, numbered = _once(spark, sf_dir, "one-file", write), scratch(spark, "numbered")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        lines = from_text(spark, path)
+        lines.select("position", "body", event_id(F.lit("one-file"), "position").alias("id")).write.parquet(numbered)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return spark.read.parquet(numbered)
+
+
 def encoded_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_messages(table_events(spark, sf_dir))
 
@@ -214,6 +243,50 @@ def compacted_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_times(read_events(spark, target, status_stored=True))
 
 
+def trail(spark: SparkSession, sf_dir: str) -> TrailTables:
+    """The audit events in four loads, compacted twice in between.
+
+    Days of the first compaction get events later; the second takes some of these days in again
+    and lays them out for look-ups; the last load is in no compacted file.
+    """
+
+    def write(root: str) -> None:
+        tables = _trail_tables(root)
+        events = table_events(spark, sf_dir)
+        load = F.col("event_id") % 4
+        for n in range(4):
+            append_events(events.filter(load == n), tables.landed, f"load-{n:012d}")
+            if n == 1:
+                compact_trail(spark, tables, SINCE.date(), UNTIL.date())
+            if n == 2:
+                compact_trail(spark, tables, date(2024, 1, 10), date(2024, 1, 25), layout=by_lookup)
+
+    return _trail_tables(_once(spark, sf_dir, "trail", write))
+
+
+def _trail_tables(root: str) -> TrailTables:
+    return TrailTables(f"{root}/landed", f"{root}/compacted", f"{root}/commits", f"{root}/lookups")
+
+
+def trail_after_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read_trail(spark, trail(spark, sf_dir))
+    return plain_times(events.select(*STORED_COLUMNS, "http_status", "created_date"))
+
+
+def trail_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of one request, from the files the look-up index names and what has landed since."""
+    flt = FILTERS["f_request"]
+    events = read_trail(spark, trail(spark, sf_dir), lookup=("request_id", flt.request_id))
+    return plain_times(list_columns(filter_events(events, flt)))
+
+
+def trail_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page across landed files and both layouts."""
+    events = read_trail(spark, trail(spark, sf_dir), UNTIL.date() - timedelta(days=7), UNTIL.date())
+    flt = EventFilter(scope_type="tenant", scope_id="tenant-1", until=UNTIL, limit=100)
+    return plain_times(fetch_page(events, flt).to_df(spark))
+
+
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "dead")
     decoded = decode_messages(from_files(spark, delivery_files(spark, sf_dir)))
@@ -237,7 +310,8 @@ def schema_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_columns(audit_events(spark, sf_dir)).select("id", event_json().alias("json"))
+    """Stored events, whose payloads were checked when they were let in."""
+    return list_columns(event_table(spark, sf_dir)).select("id", event_json(known_json=True).alias("json"))
 
 
 def groups_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,6 +395,27 @@ def poison_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def kafka_poison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from records of a broker, which hold the earlier attempts in their headers."""
+    header = lambda key, value: F.struct(F.lit(key).alias("key"), value.cast("binary").alias("value"))
+    records = deliveries(spark, sf_dir).select(
+        F.col("body").cast("binary").alias("value"),
+        F.lit("audit").alias("topic"), (F.col("event_id") % 3).cast("int").alias("partition"),
+        F.col("event_id").alias("offset"),
+        F.filter(
+            F.array(
+                header("trace", F.lit("x")),
+                F.when(F.col("x_death").isNotNull(), header("x-death", F.to_json("x_death"))),
+                F.when(F.col("redelivered"), header("redelivered", F.lit("true"))),
+            ),
+            lambda h: h.isNotNull(),
+        ).alias("headers"),
+    )
+    return from_kafka(records).select(
+        F.col("position").alias("event_id"), death_count().cast("bigint").alias("deaths"), is_poison(3).alias("poison")
+    )
+
+
 # --- list, pages, groups -----------------------------------------------------------------
 
 
@@ -414,7 +509,7 @@ def _replayed(run: Callable[[Callable[[int], None] | None], None], fail_after: i
 
 def run_ingest(
     spark: SparkSession, sf_dir: str, fail_after: int | None = None,
-    *, source: str | None = None, files: int | None = None,
+    *, source: str | None = None, files: int | None = None, names: tuple[str, ...] = ("ingest",),
 ) -> IngestTables:
     """Stream all deliveries, in two micro-batches unless the files of one are given.
 
@@ -422,14 +517,19 @@ def run_ingest(
     and is started again.
     """
     root = scratch(spark, "ingest")
-    tables = IngestTables(f"{root}/events", f"{root}/dead", f"{root}/ledger", f"{root}/rollup")
+    tables = IngestTables(
+        f"{root}/events", f"{root}/dead", f"{root}/ledger", f"{root}/rollup",
+        f"{root}/ranges" if len(names) > 1 else None,
+    )
     source = source or delivery_files(spark, sf_dir)
     files = files or max(1, len(spark.read.parquet(source).inputFiles()) // 2)
 
     def run(after_batch: Callable[[int], None] | None) -> None:
-        stream = stream_files(spark, source, max_files_per_trigger=files)
-        query = start_ingest(stream, tables, f"{root}/checkpoint", available_now=True, after_batch=after_batch)
-        query.awaitTermination()
+        for name in names:
+            stream = stream_files(spark, source, max_files_per_trigger=files)
+            start_ingest(
+                stream, tables, f"{root}/checkpoint-{name}", query=name, available_now=True, after_batch=after_batch
+            ).awaitTermination()
 
     if fail_after is None:
         run(None)
@@ -443,12 +543,12 @@ def stream_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch(spark, "publish")
     envelopes = stream_envelopes(spark, envelope_files(spark, sf_dir))
     start_publish(envelopes, f"{root}/messages", f"{root}/checkpoint", available_now=True).awaitTermination()
-    decoded = decode_messages(from_text(spark, f"{root}/messages")).select("event.*", "dead_reason")
+    decoded = decode_messages(from_text(spark, f"{root}/messages", numbered=False)).select("event.*", "dead_reason")
     return plain_times(normalize(decoded, F.lit(ARRIVAL).cast("timestamp")))
 
 
 def refused_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = refused(read_envelopes(spark, envelope_files(spark, sf_dir))).groupBy("reason", "n_events")
+    counted = refused(read_envelopes(spark, envelope_files(spark, sf_dir), numbered=False)).groupBy("reason", "n_events")
     return counted.agg(F.count("*").alias("n"))
 
 
@@ -462,6 +562,12 @@ def replay_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_times(read_events(spark, tables.events).select(*EVENT_COLUMNS))
 
 
+def reread_under_another_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same deliveries read by two streams with checkpoints of their own."""
+    tables = run_ingest(spark, sf_dir, names=("ingest", "again"))
+    return plain_times(read_events(spark, tables.events).select(*EVENT_COLUMNS))
+
+
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = run_ingest(spark, sf_dir, fail_after=0)
     return plain_times(merge_groups(read_rollup(spark, tables.rollup)))
@@ -484,42 +590,64 @@ def batch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_size_histogram(read_ledger(spark, tables.ledger))
 
 
-def run_accounts(spark: SparkSession, sf_dir: str) -> PublishTables:
-    """Account for all batch documents in two micro-batches, the first of which is replayed."""
-    root = scratch(spark, "accounts")
-    tables = PublishTables(f"{root}/refused", f"{root}/ledger")
-    source = envelope_files(spark, sf_dir)
-    files = max(1, len(spark.read.text(source).inputFiles()) // 2)
+def run_outbox(spark: SparkSession, sf_dir: str) -> Outbox:
+    """Publish all batch documents in two micro-batches, each of which fails once.
 
-    def run(after_batch: Callable[[int], None] | None) -> None:
-        stream = stream_envelopes(spark, source, max_files_per_trigger=files)
-        start_accounts(
-            stream, tables, f"{root}/checkpoint", available_now=True, after_batch=after_batch
-        ).awaitTermination()
+    The first stops between its writes and its commit, the second after its commit.
+    """
 
-    _replayed(run, 0)
-    return tables
+    def write(root: str) -> None:
+        outbox = Outbox(f"{root}/records", f"{root}/commits")
+        source = envelope_files(spark, sf_dir)
+        files = max(1, len(spark.read.text(source).inputFiles()) // 2)
+
+        def run(point: str, fail: Callable[[int], None] | None) -> None:
+            start_outbox(
+                stream_envelopes(spark, source, max_files_per_trigger=files), outbox, f"{root}/checkpoint",
+                available_now=True, **{point: fail},
+            ).awaitTermination()
+
+        _replayed(lambda fail: run("before_commit", fail) if fail else None, 0)
+        _replayed(lambda fail: run("after_batch", fail), 1)
+
+    root = _once(spark, sf_dir, "outbox", write)
+    return Outbox(f"{root}/records", f"{root}/commits")
 
 
 def publish_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The refused documents set aside, by reason; bodies are those of the documents."""
-    aside = read_refusals(spark, run_accounts(spark, sf_dir).refused)
-    given = read_envelopes(spark, envelope_files(spark, sf_dir)).select("body").distinct()
+    aside = outbox_refusals(spark, run_outbox(spark, sf_dir))
+    given = read_envelopes(spark, envelope_files(spark, sf_dir), numbered=False).select("body").distinct()
     known = aside.join(given, "body", "left_semi")
     return known.groupBy("reason", "n_events").agg(F.count("*").alias("n"))
 
 
 def publish_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return publish_totals(read_publish_ledger(spark, run_accounts(spark, sf_dir).ledger))
+    return publish_totals(read_commits(spark, run_outbox(spark, sf_dir)))
+
+
+def stream_relay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Committed messages sent on by a stream, commit by commit, and decoded."""
+    root = scratch(spark, "relay")
+    start_relay(
+        spark, run_outbox(spark, sf_dir), f"{root}/checkpoint", to_text(f"{root}/messages"),
+        available_now=True, batches_per_trigger=1,
+    ).awaitTermination()
+    decoded = decode_messages(from_text(spark, f"{root}/messages", numbered=False)).select("event.*", "dead_reason")
+    return plain_times(normalize(decoded, F.lit(ARRIVAL).cast("timestamp")))
 
 
 QUERIES: dict[str, Query] = {
     "src_envelope": src_envelope,
     "map_wire": map_wire_records,
     "src_messages": src_messages,
+    "line_numbers": line_numbers,
     "encode_messages": encoded_messages,
     "append_events": appended_events,
     "compact_days": compacted_days,
+    "trail_after_compaction": trail_after_compaction,
+    "trail_lookup": trail_lookup,
+    "trail_page": trail_page,
     "dead_letter": dead_letters,
     "schema_evolution": schema_evolution,
     "event_json": events_as_json,
@@ -537,6 +665,7 @@ QUERIES: dict[str, Query] = {
     "admit_batches": admitted_batches,
     "admitted_events": admitted,
     "poison_split": poison_split,
+    "kafka_poison": kafka_poison,
     "event_list": event_list,
     "event_page": event_page,
     "page_after_cursor": page_after_cursor,
@@ -553,11 +682,13 @@ QUERIES: dict[str, Query] = {
     "refused_envelopes": refused_envelopes,
     "stream_ingest": stream_ingest,
     "replay_idempotent": replay_idempotent,
+    "reread_under_another_name": reread_under_another_name,
     "stream_rollup": stream_rollup,
     "ledger": ledger,
     "batch_sizes": batch_sizes,
     "publish_refused": publish_refused,
     "publish_ledger": publish_ledger,
+    "stream_relay": stream_relay,
 }
 
 

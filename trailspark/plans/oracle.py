@@ -230,6 +230,16 @@ ORACLES: dict[str, str] = {
     ),
     "src_messages": _audit(f"SELECT {EVENT}, CAST(NULL AS VARCHAR) AS dead_reason FROM audit"),
     "encode_messages": _audit(f"SELECT {MESSAGE} AS value FROM audit"),
+    "line_numbers": _audit(
+        """, lines AS (
+  SELECT row_number() OVER (ORDER BY event_id) - 1 AS position, body FROM sent
+), digests AS (
+  SELECT *, sha256('8:one-file;' || length(CAST(position AS VARCHAR)) || ':' || position || ';') AS h FROM lines
+)
+SELECT position, body,
+  h[1:8] || '-' || h[9:12] || '-8' || h[14:16] || '-8' || h[18:20] || '-' || h[21:32] AS id FROM digests""",
+        DELIVERED,
+    ),
     "append_events": _trail(
         f"SELECT {STORED}, status AS http_status, CAST(created_at AS DATE) AS created_date, 'load' AS batch FROM trail",
         "minutes",
@@ -238,6 +248,15 @@ ORACLES: dict[str, str] = {
         f"SELECT {STORED}, status AS http_status, CAST(created_at AS DATE) AS created_date, 'compacted' AS batch FROM trail "
         "WHERE CAST(created_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"
     ),
+    "trail_after_compaction": _trail(
+        f"SELECT {STORED}, status AS http_status, CAST(created_at AS DATE) AS created_date FROM trail"
+    ),
+    "trail_lookup": _listed("request_id = 'req-77'"),
+    "trail_page": _trail(
+        f"SELECT {LIST} FROM trail WHERE scope_type = 'tenant' AND scope_id = 'tenant-1' "
+        "AND created_at BETWEEN TIMESTAMP '2024-01-13 00:00:00' AND TIMESTAMP '2024-01-20 18:30:00' "
+        "ORDER BY created_at DESC, id DESC LIMIT 100"
+    ),
     "dead_letter": _audit("SELECT reason, body, deaths, redelivered FROM judged WHERE reason IS NOT NULL", DELIVERED),
     "schema_evolution": _trail(
         f"SELECT {LIST} FROM trail WHERE service <> 'web-svc' AND status >= 200",
@@ -248,7 +267,7 @@ ORACLES: dict[str, str] = {
     CASE WHEN event_id % 2 = 0 THEN '' ELSE client_ip END AS client_ip) FROM audit
 )""",
     ),
-    "event_json": _trail(f"SELECT id, {_object(LIST, OMITTED)} AS json FROM trail"),
+    "event_json": _trail(f"SELECT id, {_object(LIST, OMITTED)} AS json FROM trail", "minutes"),
     "group_json": _trail(f", {_grouped()}\nSELECT {_object(GROUP_COLUMNS, ('service',))} AS json FROM grouped"),
     "category": _trail("SELECT id, category FROM trail"),
     "category_counts": _trail("SELECT category, COUNT(*) AS n FROM trail GROUP BY category"),
@@ -280,7 +299,7 @@ SELECT event_id, h[1:8] || '-' || h[9:12] || '-8' || h[14:16] || '-8' || h[18:20
     "f_category_router": _listed("category = 'router_access'"),
     "f_target": _listed("target_type = 'order' AND target_id = 't-2'"),
     "f_request": _listed("request_id = 'req-77'"),
-    "f_exclude_category": _listed("category NOT IN ('sensitive_read', 'router_access')"),
+    "f_exclude_category": _listed("category NOT IN ('system', 'business_mutation')"),
     "f_exclude_service": _listed("service NOT IN ('gateway', 'web-svc')"),
     "f_exclude_action": _listed("action NOT IN ('ui.click', 'report.view', 'POST /checkout')"),
     "f_time": _listed(TIME_SQL),
@@ -317,6 +336,7 @@ SELECT event_id, h[1:8] || '-' || h[9:12] || '-8' || h[14:16] || '-8' || h[18:20
         INTAKE, FIRST_REASONS,
     ),
     "poison_split": _audit("SELECT event_id, deaths, deaths >= 3 AS poison FROM delivered", DELIVERED),
+    "kafka_poison": _audit("SELECT event_id, deaths, deaths >= 3 AS poison FROM delivered", DELIVERED),
     "event_list": _trail(
         f"SELECT {LIST} FROM trail WHERE category = 'security_change' ORDER BY created_at DESC, id DESC LIMIT 101",
         "minutes",
@@ -390,6 +410,7 @@ FROM others GROUP BY ALL""",
     ),
     "stream_ingest": _audit(f"SELECT {EVENT} FROM good", DELIVERED),
     "replay_idempotent": _audit(f"SELECT {EVENT} FROM good", DELIVERED),
+    "reread_under_another_name": _audit(f"SELECT {EVENT} FROM good", DELIVERED),
     "stream_rollup": _trail(f", {_grouped()}\nSELECT {GROUP_COLUMNS} FROM grouped", "good", DELIVERED),
     "batch_sizes": _audit(
         """, cuts AS (
@@ -429,3 +450,4 @@ UNION ALL SELECT 'decode_error', COUNT(*) FROM judged WHERE reason = 'decode_err
         DELIVERED,
     ),
 }
+ORACLES["stream_relay"] = ORACLES["stream_publish"]

@@ -14,11 +14,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailspark.functions.status import http_status
-from trailspark.functions.times import as_utc, utc_clock, utc_date
-from trailspark.schema import PARTITION_COLUMNS, STATUS_COLUMN, STORED_COLUMNS, stored
+from trailspark.functions.times import as_utc, utc_date
+from trailspark.schema import PARTITION_COLUMNS, STATUS_COLUMN, stored
+from trailspark.sinks.layout import by_time
 from trailspark.sources.events import read_events
+from trailspark.sources.lookups import LOOKUP_COLUMNS
 
-LOOKUP_COLUMNS = ("request_id", "actor", "target_id")
 # Adaptive filters are as large as the values they hold need.
 BLOOM_FILTERS = {"parquet.bloom.filter.adaptive.enabled": "true"} | {
     f"parquet.bloom.filter.enabled#{c}": "true" for c in LOOKUP_COLUMNS
@@ -37,9 +38,9 @@ def append_events(events: DataFrame, path: str, batch: str, *, bulk: bool = Fals
     physical = {STATUS_COLUMN: http_status(), "created_date": utc_date(F.col("created_at")), "batch": F.lit(batch)}
     rows = stored(events).withColumns(physical)
     if bulk:
-        _write(_spread(rows), path, BLOOM_FILTERS)
+        write_days(by_time(rows), path, BLOOM_FILTERS)
     else:
-        _write(rows, path)
+        write_days(rows.sortWithinPartitions(*PARTITION_COLUMNS, F.desc("created_at"), F.desc("id")), path)
 
 
 def compact_days(
@@ -60,28 +61,18 @@ def compact_days(
     if until is not None:
         events = events.filter(F.col("created_date") <= F.lit(as_utc(until).date()))
     status = F.coalesce(STATUS_COLUMN, http_status())
-    _write(_spread(events.withColumns({"batch": F.lit(COMPACTED), STATUS_COLUMN: status})), target, BLOOM_FILTERS)
+    write_days(by_time(events.withColumns({"batch": F.lit(COMPACTED), STATUS_COLUMN: status})), target, BLOOM_FILTERS)
 
 
-def _spread(events: DataFrame) -> DataFrame:
-    """Rows by day and hour, in partitions of even size.
-
-    Rebalancing splits an hour that holds a large part of the rows and merges thin ones, from
-    the sizes seen in the shuffle; it needs no sampling pass over the rows.
-    """
-    return (
-        events.withColumn("_hour", F.hour(utc_clock(F.col("created_at"))))
-        .hint("rebalance", "created_date", "_hour")
-        .select(*STORED_COLUMNS, STATUS_COLUMN, *PARTITION_COLUMNS)
-    )
-
-
-def _write(events: DataFrame, path: str, options: Mapping[str, str] | None = None) -> None:
+def write_days(
+    events: DataFrame, path: str, options: Mapping[str, str] | None = None,
+    partitions: tuple[str, ...] = PARTITION_COLUMNS,
+) -> None:
+    """Rows as they lie in their tasks, replacing the folders they belong to."""
     (
-        events.sortWithinPartitions(*PARTITION_COLUMNS, F.desc("created_at"), F.desc("id"))
-        .write.mode("overwrite")
+        events.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .options(**(options or {}))
-        .partitionBy(*PARTITION_COLUMNS)
+        .partitionBy(*partitions)
         .parquet(path)
     )

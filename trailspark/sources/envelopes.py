@@ -16,12 +16,18 @@ from trailspark.operators.decode import (
     parse_envelope,
 )
 from trailspark.schema import EVENT_COLUMNS
-from trailspark.sources.messages import FILES_PER_TRIGGER
+from trailspark.sources.messages import BLOCK, FILES_PER_TRIGGER, number_lines
 
 
-def read_envelopes(spark: SparkSession, path: str, *, whole_files: bool = False) -> DataFrame:
-    """`body` with its coordinates `source_file, source_row`."""
-    return _bodies(spark.read.text(path, wholetext=whole_files), F.monotonically_increasing_id())
+def read_envelopes(spark: SparkSession, path: str, *, whole_files: bool = False, numbered: bool = True) -> DataFrame:
+    """`body` with its coordinates `source_file, source_row`: the file and the line in it.
+
+    Numbering lines reads the files once more; without it the row is NULL.
+    """
+    if whole_files:
+        return _bodies(spark.read.text(path, wholetext=True), F.lit(0).cast("bigint")).drop(BLOCK)
+    bodies = _bodies(spark.read.text(path), F.lit(None).cast("bigint"))
+    return number_lines(bodies, "source_file", "source_row") if numbered else bodies.drop(BLOCK)
 
 
 def stream_envelopes(
@@ -31,7 +37,7 @@ def stream_envelopes(
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return _bodies(reader.text(path, wholetext=whole_files), F.lit(None).cast("bigint"))
+    return _bodies(reader.text(path, wholetext=whole_files), F.lit(None).cast("bigint")).drop(BLOCK)
 
 
 def _bodies(df: DataFrame, row: Column) -> DataFrame:
@@ -39,6 +45,7 @@ def _bodies(df: DataFrame, row: Column) -> DataFrame:
         F.col("value").alias("body"),
         F.col("_metadata.file_path").alias("source_file"),
         row.alias("source_row"),
+        F.col("_metadata.file_block_start").alias(BLOCK),
     )
 
 

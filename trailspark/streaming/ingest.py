@@ -28,17 +28,22 @@ from trailspark.session import ensure_session
 from trailspark.sinks.dead_letters import write_dead_letters
 from trailspark.sinks.events import append_events
 from trailspark.sinks.ledger import write_ledger
-from trailspark.sources.messages import COORDINATES
+from trailspark.sinks.ranges import not_read_by_others, write_ranges
+from trailspark.sources.messages import BLOCK, COORDINATES, number_lines
 
 
 @dataclass(frozen=True)
 class IngestTables:
-    """Where a stream writes; the roll-up is optional."""
+    """Where a stream writes; the roll-up is optional.
+
+    Streams that share `ranges` store each message once, though they read the same sources.
+    """
 
     events: str
     dead_letters: str
     ledger: str
     rollup: str | None = None
+    ranges: str | None = None
 
 
 def with_arrival(deliveries: DataFrame) -> DataFrame:
@@ -62,13 +67,15 @@ def write_batch(
     """Write one micro-batch: events, dead letters, roll-up part, and last its ledger row.
 
     `decoded` is `decode_messages` of deliveries `with_arrival`. It feeds several writes and
-    is kept for them; a lost executor's share is decoded again. Lines of text get the order
-    in which the batch reads them as their position.
+    is kept for them; a lost executor's share is decoded again. Lines of text get their number
+    in the file as their position.
     """
     batch = batch_key(query, batch_id)
-    position = F.coalesce("position", F.monotonically_increasing_id())
-    decoded = decoded.withColumn("position", position).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = decoded.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        decoded = number_lines(kept) if BLOCK in kept.columns else kept
+        if tables.ranges:
+            decoded = not_read_by_others(decoded, tables.ranges, query=query)
         reason = F.col("dead_reason")
         totals = decoded.agg(
             F.count("*").alias("read"),
@@ -88,12 +95,14 @@ def write_batch(
             write_dead_letters(decoded, tables.dead_letters, batch)
         if tables.rollup:
             write_rollup(group_events(events, rules=rules), tables.rollup, batch)
+        if tables.ranges:
+            write_ranges(decoded, tables.ranges, batch, query=query)
         write_ledger(
             decoded.sparkSession, tables.ledger, batch,
             query=query, batch_id=batch_id, totals=totals, write_seconds=write_seconds,
         )
     finally:
-        decoded.unpersist()
+        kept.unpersist()
 
 
 def start_ingest(

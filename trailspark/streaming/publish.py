@@ -2,17 +2,12 @@
 
 `published` and `refused` are plain transformations, for tables and streams alike. A stream
 that writes text files keeps a log of them, and a stream that reads the folder follows that
-log, so every message reaches the ingest stream once. That log has no room for a second table:
-what is refused is written, and everything is counted, by a stream of its own over the same
-documents, which replaces what a failed attempt of a batch left.
+log, so every message reaches the ingest stream once. That log has no room for refusals and
+counts; `outbox.py` publishes with those.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,37 +15,37 @@ from trailspark.operators.admission import admit_envelopes
 from trailspark.operators.delivery import DECODE_ERROR
 from trailspark.operators.render import encode_messages
 from trailspark.session import ensure_session
-from trailspark.sinks.refusals import write_publish_ledger, write_refusals
 from trailspark.sources.envelopes import decode_envelopes, explode_events
-from trailspark.streaming.ingest import batch_key
 
 
-@dataclass(frozen=True)
-class PublishTables:
-    """Where the accounts of publishing go."""
+#: Why a document is refused before it is decoded.
+BODY_TOO_LARGE = "body too large"
 
-    refused: str
-    ledger: str
 
+def judge(envelopes: DataFrame, max_events: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Decoded envelopes with the `reason` they are refused for, NULL for an admitted one.
 
-def judge(envelopes: DataFrame, max_events: int | None = None) -> DataFrame:
-    """Decoded envelopes with the `reason` they are refused for, NULL for an admitted one."""
-    admitted = admit_envelopes(decode_envelopes(envelopes), max_events)
-    return admitted.withColumn("reason", F.when(F.col("decode_error"), F.lit(DECODE_ERROR)).otherwise(F.col("reason")))
+    A document of more than `max_bytes` has a reason of its own and is not decoded.
+    """
+    too_large = F.lit(False) if max_bytes is None else F.coalesce(F.octet_length("body") > max_bytes, F.lit(False))
+    given = envelopes.withColumn("_whole", F.col("body")).withColumn("body", F.when(~too_large, F.col("body")))
+    admitted = admit_envelopes(decode_envelopes(given), max_events)
+    reason = F.when(too_large, F.lit(BODY_TOO_LARGE)).when(F.col("decode_error"), F.lit(DECODE_ERROR)).otherwise(F.col("reason"))
+    return admitted.withColumn("body", F.col("_whole")).withColumn("reason", reason).drop("_whole")
 
 
-def published(envelopes: DataFrame, max_events: int | None = None) -> DataFrame:
+def published(envelopes: DataFrame, max_events: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """`value`: one message per event of the admitted envelopes.
 
     Their payloads have just been rendered from parsed JSON and are not checked again.
     """
-    admitted = judge(envelopes, max_events).filter("reason IS NULL")
+    admitted = judge(envelopes, max_events, max_bytes).filter("reason IS NULL")
     return encode_messages(explode_events(admitted.drop("reason")), known_json=True)
 
 
-def refused(envelopes: DataFrame, max_events: int | None = None) -> DataFrame:
+def refused(envelopes: DataFrame, max_events: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """The envelopes nothing was taken from: `body, n_events, reason`."""
-    return judge(envelopes, max_events).filter("reason IS NOT NULL").select("body", "n_events", "reason")
+    return judge(envelopes, max_events, max_bytes).filter("reason IS NOT NULL").select("body", "n_events", "reason")
 
 
 def start_publish(
@@ -59,51 +54,17 @@ def start_publish(
     checkpoint: str,
     *,
     max_events: int | None = None,
+    max_bytes: int | None = None,
     flush_interval: str = "2 seconds",
     available_now: bool = False,
 ) -> StreamingQuery:
     """Start the stream from envelopes to message files, one JSON message per line."""
     ensure_session(envelopes.sparkSession)
     writer = (
-        published(envelopes, max_events)
+        published(envelopes, max_events, max_bytes)
         .writeStream.format("text")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
     )
     trigger = {"availableNow": True} if available_now else {"processingTime": flush_interval}
     return writer.trigger(**trigger).start()
-
-
-def start_accounts(
-    envelopes: DataFrame,
-    tables: PublishTables,
-    checkpoint: str,
-    *,
-    query: str = "publish",
-    max_events: int | None = None,
-    flush_interval: str = "2 seconds",
-    available_now: bool = False,
-    after_batch: Callable[[int], None] | None = None,
-) -> StreamingQuery:
-    """Start the stream that sets refused documents aside, whole, and counts all of them.
-
-    Use the `max_events` of `start_publish`. `after_batch` runs after the writes and before
-    the offsets are committed; what it raises makes the batch replay.
-    """
-    ensure_session(envelopes.sparkSession)
-
-    def write(df: DataFrame, batch_id: int) -> None:
-        batch = batch_key(query, batch_id)
-        judged = judge(df, max_events).select("body", "source_file", "n_events", "reason")
-        judged = judged.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            write_refusals(judged, tables.refused, batch)
-            write_publish_ledger(judged, tables.ledger, batch, query=query, batch_id=batch_id)
-        finally:
-            judged.unpersist()
-        if after_batch:
-            after_batch(batch_id)
-
-    writer = envelopes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    trigger = {"availableNow": True} if available_now else {"processingTime": flush_interval}
-    return writer.trigger(**trigger).start()
