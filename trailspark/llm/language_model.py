@@ -9,7 +9,7 @@
    token for other words times the word's smoothed share among them, so probabilities of all
    words, with one for all unseen ones, add up to one.
 
-Counts of the `HEAD` most frequent words go to every task (a fixed number of rows); counts of
+Counts of the most frequent words go to every task, fewer than `HEAD` of them; counts of
 rarer words are joined by word, which no longer can be a hot key.
 
 Defined cases: null and empty texts are the end alone; a null id counts as the text '' when
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import (
     ArrayType, BinaryType, DoubleType, LongType, StringType, StructField, StructType,
@@ -84,6 +84,28 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, schema).groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent_words(counts: DataFrame, n: int) -> list[Row]:
+    """The end of texts and the most frequent words, fewer than `n` in all.
+
+    How many words lie on each of some thousands of steps of the count says down to which step
+    they are few enough, so the driver gets those words and no others, whatever the number of
+    tasks. Where that is less than the model's vocabulary, the next most frequent fill it.
+    """
+    step = F.floor(F.log2("c") * 1000)
+    words = counts.filter(F.col("word") != END_WORD)
+    steps = words.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()
+    total, least = 0, -1
+    for row in sorted(steps, key=lambda r: -r["step"]):
+        if total + row["words"] >= n:
+            least = row["step"]
+            break
+        total += row["words"]
+    head = counts.filter((F.col("word") == END_WORD) | (step > least)).collect()
+    if least >= 0 and total < VOCABULARY:
+        head += words.filter(step <= least).orderBy(F.desc("c"), "word").limit(VOCABULARY).collect()
+    return head
+
+
 class Vocabulary:
     """Counts of frequent words, and the model's ids of the most frequent ones."""
 
@@ -181,13 +203,14 @@ def _score_parts(rows: DataFrame, vocabulary: Vocabulary, weights: bytes) -> Dat
     log_end = math.log10(vocabulary.end_count + SMOOTHING)
     log_other, log_total = math.log10(vocabulary.other_total), math.log10(vocabulary.total)
 
-    def part(words: list[bytes], log_model: float) -> dict:
-        counts = Counter(words)
-        base, model, known, tail, others = log_end, log_model, int(vocabulary.end_count > 0), [], 0
-        for word, tf in counts.items():
+    def part(words: list[bytes], tail: list[bytes], times: list[int]) -> tuple:
+        """(n_tokens, known, base, the model's share besides its own score); adds to the tail."""
+        base, model, known, others = log_end, 0.0, int(vocabulary.end_count > 0), 0
+        for word, tf in Counter(words).items():
             log_count = log_counts.get(word)
             if log_count is None:
-                tail.append({"word": word.decode(), "tf": tf})
+                tail.append(word)
+                times.append(tf)
                 others += tf
                 continue
             known += tf
@@ -196,10 +219,7 @@ def _score_parts(rows: DataFrame, vocabulary: Vocabulary, weights: bytes) -> Dat
                 others += tf
                 model += tf * log_count
         n = len(words) + 1
-        return {
-            "n_tokens": n, "known": known, "base": base - n * log_total,
-            "model": model - others * log_other, "tail": tail,
-        }
+        return n, known, base - n * log_total, model - others * log_other
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.load(weights)
@@ -207,10 +227,19 @@ def _score_parts(rows: DataFrame, vocabulary: Vocabulary, weights: bytes) -> Dat
             texts = pack.column("text").to_pylist()
             scores = model.log10([vocabulary.encode(tokens(t)) for t in texts], END)
             for start in range(0, len(texts), 1000):
-                rows = zip(texts[start : start + 1000], scores[start : start + 1000])
-                made = pa.RecordBatch.from_pylist([part(tokens(t), s) for t, s in rows], schema=parts)
+                tail, times, ends, sums = [], [], [0], []
+                for t in texts[start : start + 1000]:
+                    sums.append(part(tokens(t), tail, times))
+                    ends.append(len(tail))
+                n, known, base, model = (np.array(x) for x in zip(*sums))
+                rare = pa.StructArray.from_arrays(
+                    [pa.array(tail, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], fields=list(parts.field("tail").type.value_type)
+                )
+                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare, type=parts.field("tail").type)
+                made = [n, known, base, model + np.array(scores[start : start + 1000])]
+                made = [pa.array(x, f.type) for x, f in zip(made, parts)]
                 kept = pack.slice(start, 1000)
-                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in keep), *made.columns], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in keep), *made, rare], schema=arrow)
 
     return rows.select(*keep, "text").mapInArrow(run, schema)
 
@@ -225,7 +254,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     training = rows.filter(~F.col("held_out")).select("text")
     counts = saved(word_counts(training), "word-counts")
     n, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = counts.orderBy(F.desc(F.col("word") == END_WORD), F.desc("c"), "word").limit(HEAD).collect()
+    head = frequent_words(counts, HEAD)
     vocabulary = Vocabulary([(r["word"], r["c"]) for r in head], n, types)
     weights = train(training, vocabulary)
 
