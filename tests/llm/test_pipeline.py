@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import re
 
 import duckdb
 import public_tokenizers
@@ -12,25 +13,62 @@ import tiktoken
 
 import corpus_pipeline
 from tests.llm.test_operators import brute_fingerprint, classes
+from tests.llm.test_passages import brute_pieces
 from trailspark.llm.oracles import QUALITY
+from trailspark.llm.paragraphs import CUT_REACH, Words
 from trailspark.llm.queries import RANKS
 
 
-def clusters(texts: dict[int, str]) -> list[list[tuple[int, int]]]:
-    """Paragraphs of twenty words or more, with a Jaccard similarity of 0.8, by single linkage."""
-    sets = {}
+def paragraph_places(text: str) -> list[tuple[int, int, bool]]:
+    """(first byte, byte after, line) of lines of twenty words and of pieces of eight."""
+    data, places, at = text.encode(), [], 0
+    for line in data.split(b"\n"):
+        if len(line.split()) >= 20:
+            places.append((at, min(at + len(line) + 1, len(data)), True))
+        at += len(line) + 1
+    starts = [m.start() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", data)]
+    cuts = brute_pieces(Words([data]).hashes.tolist(), CUT_REACH)
+    for k, n in zip(cuts, [*cuts[1:], len(starts)]):
+        if n - k >= 8:
+            places.append((starts[k], starts[n] if n < len(starts) else len(data), False))
+    return places
+
+
+def shortened(texts: dict[int, str]) -> dict[int, str]:
+    """Without repeated lines and passages: paragraphs of a Jaccard similarity of 0.8, by single linkage."""
+    sets, words = {}, {}
     for d, t in texts.items():
-        for no, line in enumerate(t.split("\n")):
-            w = line.lower().split()
-            if len(w) >= 20:
-                sets[d, no] = frozenset(" ".join(w[k : k + 5]) for k in range(len(w) - 4))
+        for place in paragraph_places(t):
+            w = t.encode()[place[0] : place[1]].lower().split()
+            sets[d, *place] = frozenset(b" ".join(w[k : k + 5]) for k in range(len(w) - 4))
+            words[d, *place] = len(w)
     links, seen = [], collections.defaultdict(list)
     for key, s in sets.items():
         shared = collections.Counter(k for x in s for k in seen[x])
         links += [(key, k) for k, n in shared.items() if n >= 0.8 * (len(s) + len(sets[k]) - n)]
         for x in s:
             seen[x].append(key)
-    return [sorted(c) for c in classes(links, sets)]
+    gone = collections.defaultdict(set)
+    for members in classes(links, sets):
+        d, start, end, _ = min(members, key=lambda k: k[:3])
+        for other, a, b, line in members:
+            if not (other == d and a < end and b > start):
+                gone[other].add((a, b, line, words[other, a, b, line]))
+    out = dict(texts)
+    for d, places in gone.items():
+        runs: list[list] = []
+        for a, b, line, n in sorted(places):
+            if runs and a <= runs[-1][1]:
+                runs[-1] = [runs[-1][0], max(b, runs[-1][1]), line or runs[-1][2], n + runs[-1][3]]
+            else:
+                runs.append([a, b, line, n])
+        data, kept, at = texts[d].encode(), b"", 0
+        runs = [r for r in runs if r[2] or r[3] >= 20]
+        for a, b, _, _ in runs:
+            kept, at = kept + data[at:a], b
+        kept += data[at:]
+        out[d] = (kept.removesuffix(b"\n") if runs and runs[-1][1] == len(data) else kept).decode()
+    return out
 
 
 def test_pipeline(spark, sf_dir):
@@ -41,10 +79,7 @@ def test_pipeline(spark, sf_dir):
     prints = {d: brute_fingerprint(t) for d, t in texts.items()}
     near = [(a, b) for a in texts for b in texts if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
     texts = {min(c): texts[min(c)] for c in classes(near, texts)}
-    gone = {key for c in clusters(texts) for key in c[1:]}
-    texts = {
-        d: "\n".join(line for no, line in enumerate(t.split("\n")) if (d, no) not in gone) for d, t in texts.items()
-    }
+    texts = shortened(texts)
     items = [r.text.split() for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     grams = [{tuple(w[k : k + 8]) for k in range(len(w) - 7)} for w in items]
     for d in list(texts):

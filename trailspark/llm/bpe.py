@@ -34,6 +34,8 @@ LEAF_BYTES = 12
 LEAF_MEMO_BYTES = 16
 #: Encodings remembered per task: two generations of this many entries.
 MEMO_ENTRIES = 100_000
+#: Bytes of texts or ids handled at a time.
+SLICE_BYTES = 2 << 20
 MEMO_CHARS = 64
 
 _BEFORE_BLANK = re.compile(r" (?!\S)")
@@ -298,7 +300,7 @@ def encode_texts(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text"
         return lambda texts: [(ids,) for ids in codec.encode_all([t or "" for t in texts])]
 
     added = StructType([StructField("ids", ArrayType(IntegerType(), False), False)])
-    return map_rows(docs, [c for c in docs.columns if c != "ids"], [text], added, make)
+    return map_rows(docs, [c for c in docs.columns if c != "ids"], [text], added, make, SLICE_BYTES)
 
 
 def decode_ids(encoded: DataFrame, ranks: bytes, pattern: str, ids: str = "ids") -> DataFrame:
@@ -309,7 +311,7 @@ def decode_ids(encoded: DataFrame, ranks: bytes, pattern: str, ids: str = "ids")
         return lambda lists: [(codec.decode(x or []),) for x in lists]
 
     added = StructType([StructField("decoded", BinaryType(), False)])
-    return map_rows(encoded, [c for c in encoded.columns if c != "decoded"], [ids], added, make)
+    return map_rows(encoded, [c for c in encoded.columns if c != "decoded"], [ids], added, make, SLICE_BYTES)
 
 
 def round_trip(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
@@ -327,4 +329,4 @@ def round_trip(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text")
     added = StructType(
         [StructField("ids", ArrayType(IntegerType(), False), False), StructField("decoded", BinaryType(), False)]
     )
-    return map_rows(docs, [c for c in docs.columns if c not in added.names], [text], added, make)
+    return map_rows(docs, [c for c in docs.columns if c not in added.names], [text], added, make, SLICE_BYTES)

@@ -82,7 +82,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeats(docs)
+    return remove_repeats(docs, passages=True)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
