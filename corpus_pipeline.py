@@ -30,8 +30,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without paragraphs that an earlier document or line has."""
-    cleaned = remove_repeats(docs)
+    """Texts without lines and passages that an earlier document or place has."""
+    cleaned = remove_repeats(docs, passages=True)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned.select(*docs.columns)
