@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from trailspark.sources.lookups import LOOKUP_COLUMNS, value_number
+from trailspark.sources.lookups import LOOKUP_COLUMNS, read_lookups, value_number
 
 
-def write_lookups(events: DataFrame, path: str) -> None:
-    """Index the files that `events` is read from, by day and version.
+def write_lookups(events: DataFrame, path: str, version: str) -> None:
+    """Index the files of a version, which `events` is read from, by day.
 
     Values become numbers and equal numbers of a file meet before the shuffle, so what is
     shuffled grows with the distinct numbers of a file, not with its rows. The day's bitmaps are
@@ -22,10 +22,8 @@ def write_lookups(events: DataFrame, path: str) -> None:
         F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bitmap")
     )
     _write(files.withColumn("level", F.lit("file")), path)
-    written = events.sparkSession.read.parquet(path).filter("level = 'file'")
-    versions = events.select("created_date", "batch").distinct()
-    days = written.join(versions, ["created_date", "batch"], "left_semi")
-    days = days.groupBy("created_date", "batch", "column", "bitmap_number").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    written = read_lookups(events.sparkSession, path, "file").filter(F.col("batch") == version)
+    days = written.groupBy("created_date", "batch", "column", "bitmap_number").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
     _write(days.withColumns({"level": F.lit("day"), "file": F.lit(None).cast("string")}), path)
 
 

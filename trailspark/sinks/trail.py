@@ -47,7 +47,7 @@ def compact_trail(
     def write(rows: DataFrame, version: str) -> None:
         status = F.coalesce(STATUS_COLUMN, http_status())
         write_days(layout(rows.withColumns({"batch": F.lit(version), STATUS_COLUMN: status})), tables.compacted, BLOOM_FILTERS)
-        write_lookups(read_events(spark, tables.compacted).filter(F.col("batch") == version), tables.lookups)
+        write_lookups(read_events(spark, tables.compacted).filter(F.col("batch") == version), tables.lookups, version)
 
     return _compact(spark, tables, since, until, growth, write)
 

@@ -37,8 +37,8 @@ def _holds(value: Column) -> Column:
     position = F.bitmap_bit_position(number)
     byte = F.substring(F.col("bitmap"), (F.floor(position / 8) + 1).cast("int"), F.lit(1))
     bits = F.conv(F.hex(byte), 16, 10).cast("int")
-    set_ = F.shiftright(bits, 0).bitwiseAND(F.call_function("shiftleft", F.lit(1), (position % 8).cast("int"))) != 0
-    return (F.col("bitmap_number") == F.bitmap_bucket_number(number)) & set_
+    bit = F.call_function("shiftleft", F.lit(1), (position % 8).cast("int"))
+    return (F.col("bitmap_number") == F.bitmap_bucket_number(number)) & (bits.bitwiseAND(bit) != 0)
 
 
 def read_lookups(spark: SparkSession, path: str, level: str) -> DataFrame:
