@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import random
 import re
 
 import duckdb
@@ -101,3 +102,28 @@ def test_stages_of_no_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_cases_of_the_stages(spark, sf_dir):
+    """Nulls, empty and very long texts, repeated rows, extra columns with the names of added ones."""
+    rnd = random.Random(21)
+    clean = lambda n: " ".join("the of and house river stone walk over green light".split()[k % 10] + str(rnd.randrange(900)) + " the" for k in range(n))
+    long = clean(60_000)
+    rows = [(1, clean(40)), (2, None), (3, ""), (4, clean(50)), (5, long), (None, clean(45))]
+    rows += [rows[0], (4, clean(42))]
+    schema = "doc_id long, text string, lang string, n_chars int, kept string, n_removed string, contaminated string, simhash string"
+    docs = spark.createDataFrame([(i, t, "en", len(t or ""), "a", "b", "c", "d") for i, t in rows], schema).repartition(2)
+    stages = dict(corpus_pipeline.STAGES)
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.schema == docs.schema, name
+        seen[name] = sorted(((r.doc_id, r.text, r.n_chars, r.kept + r.n_removed + r.contaminated + r.simhash) for r in out.collect()), key=repr)
+        assert all(x[3] == "abcd" for x in seen[name])
+    texts = {name: [(x[0], x[1]) for x in rows_] for name, rows_ in seen.items()}
+    assert sorted(texts["quality rules"], key=repr) == sorted(((i, t) for i, t in rows if t), key=repr)
+    assert sorted({i for i, _ in texts["simhash near-dedup"] if i is not None}) == [1, 2, 4, 5]
+    assert sorted(texts["substring dedup"], key=repr) == sorted(rows, key=repr)
+    assert sorted(texts["benchmark decontamination"], key=repr) == sorted(rows, key=repr)
+    last = stages["byte-level bpe"](spark, docs, sf_dir).collect()
+    assert len(last) == len(rows) and {r.doc_id: r.n_tokens for r in last}[3] == 0
