@@ -9,6 +9,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import tiktoken
 
@@ -16,7 +17,7 @@ import corpus_pipeline
 from tests.llm.test_operators import brute_fingerprint, classes
 from tests.llm.test_passages import brute_pieces
 from trailspark.llm.oracles import QUALITY
-from trailspark.llm.paragraphs import CUT_REACH, Words
+from trailspark.llm.paragraphs import CUT_REACH, PASSAGE_BANDS, Signer, Words, tune_bands
 from trailspark.llm.queries import RANKS
 
 
@@ -36,17 +37,27 @@ def paragraph_places(text: str) -> list[tuple[int, int, bool]]:
 
 
 def shortened(texts: dict[int, str]) -> dict[int, str]:
-    """Without repeated lines and passages: paragraphs of a Jaccard similarity of 0.8, by single linkage."""
-    sets, words = {}, {}
+    """Without repeated lines and passages: paragraphs of a Jaccard similarity of 0.8, by single linkage.
+
+    Pieces that are alike but not equal link where they meet in their band, lines always.
+    """
+    sets, words, band = {}, {}, {}
+    sign = Signer(*tune_bands())
     for d, t in texts.items():
         for place in paragraph_places(t):
             w = t.encode()[place[0] : place[1]].lower().split()
             sets[d, *place] = frozenset(b" ".join(w[k : k + 5]) for k in range(len(w) - 4))
             words[d, *place] = len(w)
+            if not place[2]:
+                run = np.array([0]), np.array([len(w)])
+                band[d, *place] = sign(Words([b" ".join(w)]).hashes, *run, PASSAGE_BANDS, 1).tolist()
     links, seen = [], collections.defaultdict(list)
     for key, s in sets.items():
         shared = collections.Counter(k for x in s for k in seen[x])
-        links += [(key, k) for k, n in shared.items() if n >= 0.8 * (len(s) + len(sets[k]) - n)]
+        links += [
+            (key, k) for k, n in shared.items()
+            if n >= 0.8 * (len(s) + len(sets[k]) - n) and (s == sets[k] or band.get(key, 0) == band.get(k, 0))
+        ]
         for x in s:
             seen[x].append(key)
     gone = collections.defaultdict(set)
