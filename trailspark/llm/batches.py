@@ -59,7 +59,7 @@ def map_rows(
     `make` runs once per task and returns a function from one list per column of `reads` to
     one tuple per row. `keep` and `reads` are columns of `df`; rows stay where they are. With
     `size` a call gets at most that many bytes of what is read, or one row, and the task gives
-    its memory back when it ends.
+    memory back when it begins, what earlier tasks of its worker left, and when it ends.
     """
     importable(df.sparkSession)
     keep_fields = [df.schema[c] for c in keep]
@@ -68,6 +68,8 @@ def map_rows(
     order = [*keep, *(c for c in reads if c not in keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if size:
+            release_memory()
         work = make()
         for batch in batches:
             for part in slices(batch, [order.index(c) for c in reads], size=size):

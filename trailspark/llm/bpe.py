@@ -33,7 +33,7 @@ from trailspark.llm.batches import map_rows
 LEAF_BYTES = 12
 LEAF_MEMO_BYTES = 16
 #: Encodings remembered per task: two generations of this many entries.
-MEMO_ENTRIES = 100_000
+MEMO_ENTRIES = 60_000
 #: Bytes of texts or ids handled at a time.
 SLICE_BYTES = 2 << 20
 MEMO_CHARS = 64
@@ -93,14 +93,14 @@ class ByteBpe:
             self.tokens[rank] = token
         self.numbers = list(range(len(self.tokens)))
         self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
-        pairs = sorted(
-            (self.ids[token[:k]] * len(self.tokens) + self.ids[token[k:]], rank)
-            for token, rank in self.ids.items()
-            for k in range(1, len(token))
-            if token[:k] in self.ids and token[k:] in self.ids
-        )
-        self.pair_keys = np.array([key for key, _ in pairs] + [np.iinfo(np.int64).max], np.int64)
-        self.pair_ids = np.array([rank for _, rank in pairs] + [len(self.tokens)], np.int32)
+        ids, size = self.ids, len(self.tokens)
+        cuts = lambda token: ((token[:k], token[k:]) for k in range(1, len(token)))
+        known = lambda left, right: left in ids and right in ids
+        keys = np.fromiter((ids[x] * size + ids[y] for t in ids for x, y in cuts(t) if known(x, y)), np.int64)
+        made = np.fromiter((r for t, r in ids.items() for x, y in cuts(t) if known(x, y)), np.int32)
+        order = np.argsort(keys, kind="stable")
+        self.pair_keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.pair_ids = np.append(made[order], np.int32(size))
         self.byte_pairs = self.pair_ranks(
             np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256)
         ).reshape(256, 256)
