@@ -21,6 +21,8 @@ from trailspark.llm.queries import bpe_digests
 from trailspark.llm.simhash import one_of_each
 from trailspark.llm.tables import read_table, saved
 
+#: Bytes of a batch that the last stage sends to Python.
+BATCH_BYTES = 8 << 20
 #: SQL cannot express the stages from the second on; tests compare them with brute force.
 ORACLE_SQL = None
 
@@ -61,7 +63,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts, and digests of the token ids and of the bytes decoded from them."""
+    """Token counts, and digests of the token ids and of the bytes decoded from them.
+
+    By now an executor's heap is as large as it gets, so the batches to Python are kept small.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return bpe_digests(docs)
 
 
