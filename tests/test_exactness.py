@@ -9,11 +9,13 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from trailspark.operators.delivery import decode_messages
 from trailspark.operators.filters import EventFilter, filter_events
 from trailspark.operators.groups import group_events
 from trailspark.operators.listing import fetch_page, list_columns
 from trailspark.operators.render import encode_messages, event_json, group_json, page_json
+from trailspark.plans import audit_view
 from trailspark.plans.audit_view import EXACT_NUMBERS, table_events
 from trailspark.plans.catalog import scratch
 from trailspark.sinks.events import append_events
@@ -156,3 +158,14 @@ def test_second_pass_of_a_page_keeps_its_filter(spark, table):
             break
         page = fetch_page(table, EventFilter(request_id="req-77", limit=2, cursor=page.next_cursor))
     assert len(seen) == len(set(seen)) == whole
+
+
+def test_the_query_renders_whole_times_and_checks_payloads(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(audit_view, "EXACT_NUMBERS", "not json")
+    times = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts").collect()
+    assert any(r["ts"].second or r["ts"].microsecond for r in times)
+    shown = {int(r["id"][-12:]): json.loads(r["json"]) for r in queries()["event_json"](spark, sf_dir).collect()}
+    assert {k: datetime.fromisoformat(e["created_at"]).replace(tzinfo=None) for k, e in shown.items()} == {
+        r["event_id"]: r["ts"] for r in times
+    }
+    assert not any("before_state" in e for e in shown.values())
