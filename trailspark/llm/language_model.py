@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +68,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def emit(counts: Counter) -> pa.RecordBatch:
-        words = pa.array([w.decode() for w in counts], pa.string())
-        return pa.RecordBatch.from_arrays([words, pa.array(counts.values(), pa.int64())], schema=arrow)
+        words = pa.array(list(counts), pa.binary()).cast(pa.string())
+        times = np.fromiter(counts.values(), np.int64, len(counts))
+        return pa.RecordBatch.from_arrays([words, pa.array(times)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -106,26 +108,30 @@ def frequent_words(counts: DataFrame, n: int) -> list[Row]:
     return head
 
 
+def numbers(words: list[bytes], ids: dict[bytes, int], other: int) -> np.ndarray:
+    return np.fromiter(map(ids.get, words, repeat(other)), np.int32, len(words))
+
+
 class Vocabulary:
     """Counts of frequent words, and the model's ids of the most frequent ones."""
 
     def __init__(self, head: list[tuple[str, int]], n: int, types: int):
-        self.counts = {w.encode(): c for w, c in head}
-        ends = self.counts.pop(END_WORD.encode(), 0)
+        counts = {w.encode(): c for w, c in head}
+        ends = counts.pop(END_WORD.encode(), 0)
         self.end_count = ends
-        frequent = sorted(self.counts, key=lambda w: (-self.counts[w], w))[: VOCABULARY - 2]
+        ranked = sorted(counts, key=lambda w: (-counts[w], w))
+        frequent = ranked[: VOCABULARY - 2]
+        #: Of all frequent words; the first of them are the model's ids.
+        self.head = {w: k + 2 for k, w in enumerate(ranked)}
         self.ids = {w: k + 2 for k, w in enumerate(frequent)}
         self.words = len(frequent) + 2
         self.n, self.types = n, types
-        known = sum(self.counts[w] for w in frequent) + ends
+        known = sum(counts[w] for w in frequent) + ends
         self.other_total = n - known + SMOOTHING * (types - len(frequent) - (ends > 0) + 1)
         self.total = n + SMOOTHING * (types + 1)
-        self.shares = np.array([ends, n - known, *(self.counts[w] for w in frequent)], np.float64)
-
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        get = self.ids.get
-        out = np.fromiter((get(w, OTHER) for w in words), np.int32, len(words))
-        return np.append(out, np.int32(END))
+        self.shares = np.array([ends, n - known, *(counts[w] for w in frequent)], np.float64)
+        #: By id of a frequent word; nothing for all other words.
+        self.log_counts = np.log10([1.0, 1.0, *(counts[w] + SMOOTHING for w in ranked)])
 
 
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,6 +166,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary) -> bytes:
     weights, start = Model(vocabulary.words, vocabulary.shares).dump(), 0
     arrow = to_arrow_schema(_WEIGHTS)
     share = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(sum(ROUNDS)))
+    ids = vocabulary.ids
     for size in ROUNDS:
         chosen = texts.filter((share >= start) & (share < start + size)).select("text")
         start += size
@@ -167,7 +174,8 @@ def train(texts: DataFrame, vocabulary: Vocabulary) -> bytes:
         def learn(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
             trainer = Trainer(Model.load(weights))
             for pack in _packs(batches):
-                trainer.learn([vocabulary.encode(tokens(t)) for t in pack.column(0).to_pylist()], END)
+                texts = pack.column(0).to_pylist()
+                trainer.learn([np.append(numbers(tokens(t), ids, OTHER), np.int32(END)) for t in texts], END)
             if trainer.tokens:
                 row = {"weights": trainer.model.dump(), "tokens": trainer.tokens}
                 yield pa.RecordBatch.from_pylist([row], schema=arrow)
@@ -199,47 +207,51 @@ def _score_parts(rows: DataFrame, vocabulary: Vocabulary, weights: bytes) -> Dat
     keep = [c for c in rows.columns if c != "text"]
     schema = StructType([*(rows.schema[c] for c in keep), *_PARTS])
     arrow, parts = to_arrow_schema(schema), to_arrow_schema(StructType(_PARTS))
-    log_counts = {w: math.log10(c + SMOOTHING) for w, c in vocabulary.counts.items()}
-    log_end = math.log10(vocabulary.end_count + SMOOTHING)
+    head, log_counts, words_of_model = vocabulary.head, vocabulary.log_counts, vocabulary.words
+    end_known, log_end = int(vocabulary.end_count > 0), math.log10(vocabulary.end_count + SMOOTHING)
     log_other, log_total = math.log10(vocabulary.other_total), math.log10(vocabulary.total)
 
-    def part(words: list[bytes], tail: list[bytes], times: list[int]) -> tuple:
-        """(n_tokens, known, base, the model's share besides its own score); adds to the tail."""
-        base, model, known, others = log_end, 0.0, int(vocabulary.end_count > 0), 0
-        for word, tf in Counter(words).items():
-            log_count = log_counts.get(word)
-            if log_count is None:
-                tail.append(word)
-                times.append(tf)
-                others += tf
-                continue
-            known += tf
-            base += tf * log_count
-            if word not in vocabulary.ids:
-                others += tf
-                model += tf * log_count
-        n = len(words) + 1
-        return n, known, base - n * log_total, model - others * log_other
+    def part(text: str, tail: list[bytes], times: list[int]) -> tuple[np.ndarray, tuple]:
+        """The model's ids, and (n_tokens, known, base, the model's share besides its own score).
+
+        Adds the rare words and how often they occur to the tail.
+        """
+        words = tokens(text)
+        ids = numbers(words, head, OTHER)
+        rare = ids == OTHER
+        others = Counter(compress(words, rare.tolist()))
+        tail.extend(others)
+        times.extend(others.values())
+        logs, outside = log_counts[ids], ids >= words_of_model
+        n, known = len(words) + 1, len(words) - int(rare.sum()) + end_known
+        n_other = int(rare.sum()) + int(outside.sum())
+        base, model = log_end + float(logs.sum()), float(logs[outside].sum())
+        ids[outside] = OTHER
+        return np.append(ids, np.int32(END)), (n, known, base - n * log_total, model - n_other * log_other)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model.load(weights)
+        network = Model.load(weights)
         for pack in _packs(batches):
-            texts = pack.column("text").to_pylist()
-            scores = model.log10([vocabulary.encode(tokens(t)) for t in texts], END)
-            for start in range(0, len(texts), 1000):
+            ids, made = [], []
+            for start in range(0, pack.num_rows, 1000):
                 tail, times, ends, sums = [], [], [0], []
-                for t in texts[start : start + 1000]:
-                    sums.append(part(tokens(t), tail, times))
+                for t in pack.column("text").slice(start, 1000).to_pylist():
+                    known_ids, row = part(t, tail, times)
+                    ids.append(known_ids)
+                    sums.append(row)
                     ends.append(len(tail))
-                n, known, base, model = (np.array(x) for x in zip(*sums))
                 rare = pa.StructArray.from_arrays(
                     [pa.array(tail, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], fields=list(parts.field("tail").type.value_type)
                 )
                 rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare, type=parts.field("tail").type)
-                made = [n, known, base, model + np.array(scores[start : start + 1000])]
-                made = [pa.array(x, f.type) for x, f in zip(made, parts)]
+                made.append((sums, rare))
+            scores = np.array(network.log10(ids, END))
+            for start, (sums, rare) in zip(range(0, pack.num_rows, 1000), made):
+                n, known, base, model = (np.array(x) for x in zip(*sums))
+                columns = [n, known, base, model + scores[start : start + 1000]]
+                columns = [pa.array(x, f.type) for x, f in zip(columns, parts)]
                 kept = pack.slice(start, 1000)
-                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in keep), *made, rare], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in keep), *columns, rare], schema=arrow)
 
     return rows.select(*keep, "text").mapInArrow(run, schema)
 
