@@ -64,6 +64,36 @@ def test_bpe_is_the_librarys(encoding):
         assert codec.decode(ids) == text.encode()
 
 
+def test_bpe_searches_new_chunks_together(encoding):
+    """Chunks not met before are cut into pieces by one search, wherever blanks stand between them."""
+    codec = ByteBpe(read_ranks(RANKS), public_tokenizers.PATTERN)
+    rnd = random.Random(11)
+    parts = ["a", "E", "é", "漢", "😀", "'ll", "1", "²", ".", "\n", " \n", "\t ", "\x1c", "\x85", "\u00a0", "\u3000", "\u200b", " "]
+    texts = [" ".join("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 30))) for _ in range(40)) for _ in range(50)]
+    searched, findall = [], codec.pattern.findall
+
+    class Pattern:
+        def findall(self, text):
+            searched.append(text)
+            return findall(text)
+
+    codec.pattern = Pattern()
+    ids = codec.encode_all(["", *texts])
+    assert [list(x) for x in ids] == [encoding.encode_ordinary(t) for t in ["", *texts]]
+    assert len(searched) <= len(texts) + 2
+    assert codec.decode_all(ids) == [t.encode() for t in ["", *texts]]
+    assert codec.decode_all([]) == [] and codec.decode([]) == b""
+
+
+def test_bpe_merges_of_each_length():
+    """Strings merged side by side give what each gives by itself."""
+    codec = ByteBpe(read_ranks(RANKS), public_tokenizers.PATTERN)
+    rnd = random.Random(12)
+    strings = {bytes(rnd.choice(b"aaathe in\xc3\xa9\n") for _ in range(rnd.randint(0, 40))) for _ in range(3000)}
+    merged = codec.merge_all(strings)
+    assert {s: np.frombuffer(merged[s], np.int32).tolist() for s in strings} == {s: codec.merge(s) if s else [] for s in strings}
+
+
 def test_bpe_cases(docs, encoding):
     ranks = read_ranks(RANKS)
     done = decode_ids(encode_texts(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
