@@ -42,7 +42,7 @@ def to_array(values: list, kind: pa.DataType) -> pa.Array:
         return pa.array(values, type=kind)
     offsets = np.zeros(len(values) + 1, np.int32)
     np.cumsum([len(v) for v in values], out=offsets[1:])
-    if values and isinstance(values[0], np.ndarray):
+    if values and all(isinstance(v, np.ndarray) for v in values):
         flat = np.concatenate(values).astype(kind.value_type.to_pandas_dtype(), copy=False)
     else:
         flat = np.fromiter(chain.from_iterable(values), kind.value_type.to_pandas_dtype(), int(offsets[-1]))
